@@ -17,13 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._common import byte_slices, coded, split_words, starts_of
+from lattica.llm._common import byte_slices, coded, split_words, stage, starts_of, unstage
 
 UNDETERMINED = "und"
 #: Longest piece and longest run of characters scored as one; a longer word is scored in such runs.
 PIECE_CHARS, WORD_CHARS = 8, 24
 #: Labelled rows a language is learned from, about; words with a count that are kept for a language; steps of EM.
-SAMPLE_ROWS, SAMPLE_WORDS, STEPS = 1500, 40_000, 4
+SAMPLE_ROWS, SAMPLE_WORDS, STEPS = 1500, 12_000, 4
+#: Runs of characters that learning looks at at once.
+LEARN_RUNS = 8192
 _BASE = 0x100000001B3
 _POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(PIECE_CHARS)], np.uint64)
 
@@ -103,21 +105,26 @@ class Pieces:
     def learn(self, words: list[str], counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
         """(pieces, languages) probabilities from (words, languages) counts: EM over all segmentations."""
         chars, n, of = self.cut(pa.array(words, pa.string()))
-        found = list(self.found(chars, n))
-        weight = counts[of].astype(float)
+        parts = []
+        for begin in range(0, len(n), LEARN_RUNS):
+            own = slice(begin, begin + LEARN_RUNS)
+            found = [(e, k, r.astype(np.int32), x.astype(np.int32)) for e, k, r, x in self.found(chars[own], n[own])]
+            parts.append((n[own], counts[of[own]].astype(float), found))
         p = np.full((self.size, counts.shape[1]), 1.0 / self.size)
         for _ in range(steps):
-            alpha = np.zeros((WORD_CHARS + 1, len(n), counts.shape[1]))
-            alpha[0] = 1
-            for end, length, runs, pieces in found:
-                alpha[end, runs] += alpha[end - length, runs] * p[pieces]
-            beta = np.zeros_like(alpha)
-            beta[n, np.arange(len(n))] = weight / np.maximum(alpha[n, np.arange(len(n))], 1e-300)
             hits = np.zeros_like(p)
-            for end, length, runs, pieces in reversed(found):
-                share = beta[end, runs] * p[pieces]
-                np.add.at(hits, pieces, alpha[end - length, runs] * share)
-                beta[end - length, runs] += share
+            for ends, weight, found in parts:
+                rows = np.arange(len(ends))
+                alpha = np.zeros((WORD_CHARS + 1, len(ends), counts.shape[1]))
+                alpha[0] = 1
+                for end, length, runs, pieces in found:
+                    alpha[end, runs] += alpha[end - length, runs] * p[pieces]
+                beta = np.zeros_like(alpha)
+                beta[ends, rows] = weight / np.maximum(alpha[ends, rows], 1e-300)
+                for end, length, runs, pieces in reversed(found):
+                    share = beta[end, runs] * p[pieces]
+                    np.add.at(hits, pieces, alpha[end - length, runs] * share)
+                    beta[end - length, runs] += share
             p = (hits + 0.01) / (hits + 0.01).sum(axis=0)
         return p
 
@@ -188,13 +195,14 @@ def train(
     for lang, n in sorted(sizes.items()):
         part = part | ((F.col("lang") == lang) & (share < F.lit(min(1.0, sample_rows / n))))
     counted = own.where(part).select("lang", "text").mapInArrow(_counted, "lang string, word string, n long")
-    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = stage(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     languages = sorted(sizes)
     totals: dict[str, np.ndarray] = {}
     for k, lang in enumerate(languages):
         top = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(sample_words)
         for r in top.select("word", "n").collect():
             totals.setdefault(r.word, np.zeros(len(languages), np.int64))[k] = r.n
+    unstage(counted)
     words = sorted(totals)
     own_pieces = Pieces(pieces)
     counts = np.array([totals[w] for w in words]).reshape(len(words), len(languages))
