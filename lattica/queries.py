@@ -425,3 +425,67 @@ def _plus(x):
     from pyspark.sql import functions as F
 
     return F.positive(f.col(x))
+
+
+# Programs in the language
+
+
+LANG = """
+import dataset
+schema Customer = { c_custkey: Int; c_nationkey: Int32; }
+schema Order = { o_orderkey: Int; o_custkey: Int; o_orderstatus: String; o_orderpriority: String; }
+schema Assignment = { person: Int; assigned: Nullable<String>; }
+param least: UInt = 2;
+def orders(dir: String) => dataset.read_parquet(Order(), dir + "/orders.parquet")
+def customers(dir: String) => dataset.read_parquet(Customer(), dir + "/customer.parquet")
+def assign(visits: Array<Order>, least: UInt) => visits
+  .aggregate_to_array(v => v.o_orderpriority, v => v.o_orderkey)
+  .filter((g, n = least) => len(g[1]) >= n)
+  .max_by(g => len(g[1]))
+  .ensured_run(g => g[0])
+def demo_assign(dir: String) => orders(dir)
+  .aggregate(o => dataset.agg(o).group_by({person = o.o_custkey}).to_array({visits = o}))
+  .map(c => Assignment(person = c.person, assigned = assign(c.visits, least)))
+def demo_join(dir: String) => customers(dir).filter(c => c.c_custkey % 2 == 0)
+  .join_left(c => c.c_custkey, {
+    orders = orders(dir).join_multi_by(o => o.o_custkey),
+    both = [orders(dir), orders(dir).filter(o => o.o_orderstatus == "O")].join_multi_by(o => o.o_custkey % 500 + 1)})
+  .filter(c => len(c.orders) > 0u)
+  .aggregate(c => dataset.agg(c).count({n = 1}).sum({orders = len(c.orders), n_both = len(c.both)}))
+def band(n: Int) : String => {
+  if (n < 10) { return "low" } elif (n < 50) { return "mid" }
+  "high"
+}
+def band(s: String, sign: String = "!") : String => s + sign
+def demo_control(dir: String) => orders(dir).map(o => {
+  mark = "other"
+  if (o.o_orderstatus == "F") { mark = "done" }
+  { o_orderkey = o.o_orderkey, band = band(o.o_custkey), status = band(sign = "?", s = o.o_orderstatus), mark = mark }
+})
+def demo_yield(dir: String) => orders(dir).flat_map(o => {
+  if (o.o_orderkey % 2 == 0) { pass }
+  yield { key = o.o_orderkey }
+  yield { key = -o.o_orderkey }
+})
+"""
+
+
+def _program(name: str, function: str, sql: str) -> None:
+    def run(t):
+        from lattica.lang.evaluate import Program
+
+        program = Program(t.spark)
+        return program.call(program.compile(LANG), function, t.sf_dir)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_program("lang_demo_assign", "demo_assign", ORACLE["attribution_flagship"])
+_program("lang_demo_join", "demo_join", ORACLE["join_demo_totals"])
+_program(
+    "lang_control", "demo_control",
+    "SELECT o_orderkey, CASE WHEN o_custkey < 10 THEN 'low' WHEN o_custkey < 50 THEN 'mid' ELSE 'high' END AS band, o_orderstatus || '?' AS status, "
+    "CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'other' END AS mark FROM orders",
+)
+_program("lang_yield", "demo_yield", "SELECT o_orderkey * s AS key FROM orders, (VALUES (1), (-1)) v(s) WHERE o_orderkey % 2 <> 0")
