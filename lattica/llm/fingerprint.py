@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm._common import byte_slices, shuffle_partitions
@@ -125,6 +125,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
+def _block_of(k: Column, falling: list[int]) -> Column:
+    """How many of the falling cuts are at least k: block 0 has the largest ids. Cuts are looked through in two steps, so
+    a row meets about twice the root of their number."""
+    if not falling:
+        return F.lit(0)
+    step = max(1, int(len(falling) ** 0.5))
+    groups = [falling[i : i + step] for i in range(0, len(falling), step)]
+    over = lambda values: F.size(F.filter(values, lambda c: c >= k))
+    whole = over(F.lit([g[-1] for g in groups]).cast("array<long>"))
+    each = F.array(*(F.lit(g).cast("array<long>") for g in groups))
+    return whole * step + over(F.coalesce(F.get(each, whole), F.array().cast("array<long>")))
+
+
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
 
@@ -133,13 +146,13 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     also sent to the block before, so no task sees more than its block and one row. A lone row is its own next.
     """
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = blocks or shuffle_partitions(docs.sparkSession)
+    # Several blocks for each partition: they even out where they fall together.
+    blocks = blocks or 4 * shuffle_partitions(docs.sparkSession)
     shares = [(i + 1) / blocks for i in range(blocks - 1)]
     cuts = slim.agg(F.percentile_approx("k", shares, 10_000)).first()[0] if shares else []
     cuts = sorted(set(cuts or []))
-    # Block 0 has the largest ids: the number of cuts over or at an id.
-    block = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c >= F.col("k"))) if cuts else F.lit(0)
-    slim = slim.withColumn("block", block)
+    slim_block = _block_of(F.col("k"), cuts[::-1])
+    slim = slim.withColumn("block", slim_block)
     tops = sorted((r.block, r.top) for r in slim.groupBy("block").agg(F.max("k").alias("top")).collect())
     before = {b: tops[i - 1][0] for i, (b, _) in enumerate(tops)}
     top_of, block_before = [0] * blocks, [0] * blocks
