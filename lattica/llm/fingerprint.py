@@ -135,7 +135,8 @@ def _block_of(k: Column, falling: list[int]) -> Column:
     over = lambda values: F.size(F.filter(values, lambda c: c >= k))
     whole = over(F.lit([g[-1] for g in groups]).cast("array<long>"))
     each = F.array(*(F.lit(g).cast("array<long>") for g in groups))
-    return whole * step + over(F.coalesce(F.get(each, whole), F.array().cast("array<long>")))
+    # The last group may be a short one.
+    return F.least(whole * step, F.lit(len(falling))) + over(F.coalesce(F.get(each, whole), F.array().cast("array<long>")))
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:

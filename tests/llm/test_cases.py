@@ -254,7 +254,7 @@ def test_homomorphic():
     assert abs(near - 0.8) < 0.15
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 7])
+@pytest.mark.parametrize("blocks", [1, 3, 7, 9])
 def test_edits(spark, blocks):
     rows = [(5, "abcdef"), (4, None), (3, ""), (3, "xy"), (None, "nullid"), (9, "12345" * 3000), (1, "é𝒳ü")]
     got = fingerprint.compare_edits(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_chars string"), blocks=blocks).collect()
