@@ -38,6 +38,8 @@ SKETCH_BITS = 512
 SKETCH_MOST = int(SKETCH_BITS / 2 * (1 - np.exp(-2 * SAMPLES * (1 - 0.5) * 2 / SKETCH_BITS)))
 #: Rows of a band, or shingles of a group, that one task compares at once.
 BLOCK_ROWS, BLOCK_SHINGLES = 8192, 4_000_000
+#: A set is broadcast if its copies are more than one in so many of all rows; so there are always fewer than so many.
+HOT_SETS = 1000
 
 _random = np.random.default_rng(0x5EED)
 _ODD64 = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -307,10 +309,10 @@ def near_duplicates(
     signed = stage(
         slim.mapInArrow(_signed, "id long, n long, d1 long, d2 long, bands array<long>, sketch binary"), "signatures"
     )
-    classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("class"))
-    rows = signed.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
-    rows = rows.select("id", "n", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("id")).alias("class"))
-    leads = signed.where("n > 0").join(classes.where("class is not null"), ["d1", "d2", "n"]).where("id = class")
+    keys = ["d1", "d2", "n"]
+    sets = signed.where("n > 0").groupBy(*keys).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"))
+    classes = stage(sets, "sets")
+    leads = signed.where("n > 0").join(classes.where("class is not null").drop("copies"), keys).where("id = class")
     leads = stage(leads.dropDuplicates(["id", "d1", "d2"]).select("id", "n", "bands", "sketch"), "classes")
     members = leads.select(F.explode("bands").alias("key"), "id", F.lit(1).alias("weight"))
     payload = leads.select("id", "n", "sketch")
@@ -319,10 +321,17 @@ def near_duplicates(
     members = groups.join(leads.select("id", F.col("n").alias("weight")), "id").select("key", "id", "weight")
     texts = slim.where("id is not null").join(groups.select("id"), "id", "left_semi")
     links = _linked(members, payload.join(texts, "id"), _BySet, percent, block_shingles)
-    components = stage(connected_components(links), "components").withColumnRenamed("id", "class")
-    out = rows.join(components, "class", "left")
-    component = F.coalesce("component", "class")
+    components = connected_components(links).withColumnRenamed("id", "class")
+    told = classes.join(components, "class", "left").select(*keys, "copies", F.coalesce("component", "class").alias("component"))
+    told = stage(told, "components")
+    # Sets with so many copies that there can be no more than HOT_SETS of them go to the rows, not the rows to them.
+    hot = F.col("copies") * HOT_SETS > signed.count()
+    rows, few = signed.select("id", *keys).where("n > 0"), F.broadcast(told.where(hot).drop("copies"))
+    out = signed.where("n = 0").select("id", "n", F.col("id").alias("component"))
+    out = out.unionByName(rows.join(few, keys).select("id", "n", "component"))
+    rest = rows.join(few, keys, "left_anti").join(told.where(~hot), keys)
+    out = out.unionByName(rest.select("id", "n", "component"))
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
     )
