@@ -49,6 +49,11 @@ def _over(items, f: Callable) -> tuple[Column, Callable[[Column], Column]]:
     return col(items), lambda e: col(f(e))
 
 
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is computed once: what a lambda names from outside is computed again for each element."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def length(x) -> Column:
     """Of an array or map."""
     inner = x._inner if isinstance(x, Items) else col(x)
@@ -112,12 +117,14 @@ def filter_(items, f) -> Column:
 
 
 def to_map(items, key, value) -> Column:
-    """The last of equal keys wins."""
+    """The last of equal keys wins. Sorted by key, so that a long array doesn't meet itself."""
     array, k = _over(items, key)
     _, v = _over(items, value)
     pairs = F.transform(array, lambda e: F.struct(k(e).alias("k"), v(e).alias("v")))
-    later = lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["k"] == e["k"])
-    return F.map_from_entries(F.filter(pairs, later))
+    ranked = F.sort_array(F.transform(array, lambda e, i: F.struct(k(e).alias("k"), i.alias("i"))))
+    last = lambda s: F.filter(s, lambda e, i: ~F.coalesce(F.get(s, i + 1)["k"] == e["k"], F.lit(False)))
+    places = F.sort_array(F.transform(_bound(ranked, last), lambda e: e["i"]))
+    return F.map_from_entries(_bound(pairs, lambda p: F.transform(places, lambda i: F.get(p, i))))
 
 
 def zip_(*arrays) -> Column:
@@ -134,8 +141,8 @@ def aggregate_to_array(items, key, value) -> Column:
     _, v = _over(items, value)
     pairs = F.transform(array, lambda e: F.struct(k(e).alias("k"), v(e).alias("v")))
     keys = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["k"])))
-    own = lambda x: F.transform(F.filter(pairs, lambda p: p["k"].eqNullSafe(x)), lambda p: p["v"])
-    return F.transform(keys, lambda x: F.struct(x.alias("_1"), own(x).alias("_2")))
+    own = lambda ps, x: F.transform(F.filter(ps, lambda p: p["k"].eqNullSafe(x)), lambda p: p["v"])
+    return _bound(pairs, lambda ps: F.transform(keys, lambda x: F.struct(x.alias("_1"), own(ps, x).alias("_2"))))
 
 
 def aggregate_to_set(items, key, value) -> Column:

@@ -315,20 +315,23 @@ def attribution_flagship(t):
     return people.map(assigned)
 
 
-# Collections inside a record. Arrays are the words of a text, or the digits of a key.
+# Collections inside a record. Arrays are the words of a text, or the digits of a key. Each query on the words of a text's
+# beginning has a second one, named _whole, on all of the text's words.
 
-WORDS = "string_split(substr(text, 1, 200), ' ')"
+WORDS, WHOLE = "string_split(substr(text, 1, 200), ' ')", "string_split(text, ' ')"
 
 
 def _collection(name: str, sql: str, made: Callable, table: str = "documents", key: str = "doc_id", source: str = WORDS) -> None:
     from pyspark.sql import functions as F
 
     def run(t):
-        words = lambda r: F.split(F.substring(r.text, 1, 200), " ") if source == WORDS else r[source]
+        words = lambda r: F.split(F.substring(r.text, 1, 200), " ") if source == WORDS else F.split(r.text, " ") if source == WHOLE else r[source]
         return getattr(t, table).map(lambda r: {key: r[key], "x": made(words(r))})
 
     run.__name__ = name
     query(f"SELECT {key}, {sql.format(a=source)} AS x FROM {table}")(run)
+    if source == WORDS:
+        _collection(f"{name}_whole", sql, made, table, key, WHOLE)
 
 
 _collection("arr_len", "len({a})", f.length)
