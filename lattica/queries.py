@@ -292,6 +292,16 @@ def join_null_key(t):
     return joined.aggregate(lambda r: agg(r).group_by(k=r.k).sum(n=f.length(r.o)))
 
 
+@query("SELECT nullif(c_nationkey, 3) AS k, (count(*) * count(*))::BIGINT AS n FROM customer GROUP BY 1")
+def join_null_key_whole(t):
+    """All customers on both sides, so that null is a hot key."""
+    from pyspark.sql import functions as F
+
+    keyed = t.customer.map(lambda r: {"id": r.c_custkey, "k": F.nullif(r.c_nationkey, F.lit(3))})
+    joined = keyed.join_left(lambda r: r.k, o=keyed.join_multi_by(lambda r: r.k))
+    return joined.aggregate(lambda r: agg(r).group_by(k=r.k).sum(n=f.length(r.o)))
+
+
 @query("SELECT c_custkey, c_name FROM customer")
 def join_unused_pruned(t):
     return t.customer.join_left(lambda r: r.c_custkey, o=t.orders.join_multi_by(lambda r: r.o_custkey)).map(lambda r: {"c_custkey": r.c_custkey, "c_name": r.c_name})

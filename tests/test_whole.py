@@ -50,3 +50,10 @@ def test_map_has_the_last_of_equal_keys_in_their_order(spark):
     made = F.map_entries(f.to_map(F.col("x"), lambda e: e["k"], lambda e: e["v"]))
     got = [r.m and list(map(tuple, r.m)) for r in df.select(made.alias("m")).collect()]
     assert got == [[("b", 3), ("c", 4), ("a", 5)], [], None]
+
+
+def test_null_keys_of_all_customers(spark, tmp_path):
+    rows = [(k, 3 if k > 60 else k % 5) for k in range(1, 301)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.k: r.n for r in Q.QUERIES["join_null_key_whole"](spark, str(tmp_path)).collect()}
+    assert got == {None: 252**2} | {k: 12**2 for k in (0, 1, 2, 4)}
