@@ -4,7 +4,8 @@ Hosts are nodes, links between pages of different hosts are edges, weighted by t
 PageRank that starts at trusted hosts, along the links; distrust is the same from blocked hosts, against the links'
 direction: who links to a blocked host is distrusted (Gyöngyi et al. 2004; Krishnan, Raj 2006). A host is a blocked seed
 if a block rule decides on half of its pages or more, and a trusted one if an allow rule decides on a page of it and it
-isn't a blocked seed.
+isn't a blocked seed. A host that is linked but has no page in the table is judged so by the different addresses that
+links to it name, an empty path being /.
 A host is blocked if its distrust is over its trust and over a threshold times the mean host's share.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from lattica.llm._common import stage, unstage
 
 DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 20, 1e-4, 1.0
-_LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
+_LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+[^?#"'\s>]*)"""
 
 
 @dataclass(frozen=True)
@@ -67,14 +68,22 @@ def fitting_rule(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Colu
     return out
 
 
-def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst, weight) of links between different hosts."""
+def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(src, dst, path, weight) of links between different hosts, by the path that they name."""
     host, _ = host_and_path(F.col(url_col).cast("string"))
     links = F.regexp_extract_all(F.coalesce(F.col(html_col).cast("string"), F.lit("")), F.lit(_LINK), F.lit(1))
     bare = lambda h: _lower(F.regexp_replace(F.regexp_replace(h, r"^[^@]*@", ""), r":\d*$", ""))
-    edges = pages.select(host.alias("src"), F.explode(F.transform(links, bare)).alias("dst"))
-    edges = edges.where("src <> '' and dst <> '' and src <> dst")
-    return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    to = F.substring_index("link", "/", 1)
+    path = F.substring(F.col("link"), F.length(to) + 1, F.length("link"))
+    found = pages.select(host.alias("src"), F.explode(links).alias("link"))
+    found = found.select("src", bare(to).alias("dst"), F.when(path == "", "/").otherwise(path).alias("path"))
+    found = found.where("src <> '' and dst <> '' and src <> dst")
+    return found.groupBy("src", "dst", "path").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def host_edges(links: DataFrame) -> DataFrame:
+    """(src, dst, weight) of host_links."""
+    return links.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -108,7 +117,7 @@ def judge_urls(
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of pages.
 
     A page that a rule fits has the rule's verdict; any other is blocked if its host's distrust is over its trust and at
-    least threshold times 1 / hosts, and allowed if not. A null url, or one without ://, has an empty host, which no rule
+    least threshold times 1 / hosts (linked ones too), and allowed if not. A null url, or one without ://, has an empty host, which no rule
     fits and no link reaches. Rows that repeat an id are judged each. trust and distrust are 0 for unreached hosts.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
@@ -116,14 +125,17 @@ def judge_urls(
     slim = slim.withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
     allows = F.col("fits").isin([i for i, r in enumerate(rules) if r.verdict == "allow"])
     blocks = F.col("fits").isin([i for i, r in enumerate(rules) if r.verdict == "block"])
-    hosts = slim.where("host <> ''").groupBy("host").agg(
-        F.count_if(allows).alias("allowed"), F.count_if(blocks).alias("blocked"), F.count(F.lit(1)).alias("n")
-    )
+    counts = F.count_if(allows).alias("allowed"), F.count_if(blocks).alias("blocked"), F.count(F.lit(1)).alias("n")
+    crawled = slim.where("host <> ''").groupBy("host").agg(*counts)
+    links = stage(host_links(pages, url_col, html_col), "links")
+    named = links.select(F.col("dst").alias("host"), "path").distinct().withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
+    hosts = crawled.unionByName(named.groupBy("host").agg(*counts).join(crawled.select("host"), "host", "left_anti"))
     blocked = F.when(2 * F.col("blocked") >= F.col("n"), F.col("blocked")).otherwise(0)
     allowed = F.when(2 * F.col("blocked") < F.col("n"), F.col("allowed")).otherwise(0)
     hosts = stage(hosts.select("host", allowed.alias("allowed"), blocked.alias("blocked")), "hosts")
     n_hosts, allowed, blocked = hosts.agg(F.count(F.lit(1)), F.coalesce(F.sum("allowed"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    edges = stage(host_edges(pages, url_col, html_col), "edges")
+    edges = stage(host_edges(links), "edges")
+    unstage(links)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     scores = hosts.select("host")
     for name, seeded, n, links in (("trust", "allowed", allowed, edges), ("distrust", "blocked", blocked, back)):
