@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from lattica.llm._common import stage, unstage
 
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 20, 1e-4, 1.0
+#: TOLERANCE: error of all scores together that is left, as a part of the score over which a host is judged. FINEST: the
+#: least error that sums of doubles can tell.
+DAMPING, TOLERANCE, FINEST, THRESHOLD = 0.85, 1e-3, 1e-12, 1.0
 _LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+[^?#"'\s>]*)"""
 
 
@@ -86,16 +88,17 @@ def host_edges(links: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = FINEST) -> DataFrame:
     """(host, score): PageRank along edges (src, dst, weight) that starts anew at seeds (host, share), whose shares sum
-    to 1. Rank at hosts without an edge starts anew too. Ends after rounds, or when the scores' changes sum to less than
-    tolerance. Each round's scores are staged, so a round's plan doesn't grow."""
+    to 1. Rank at hosts without an edge starts anew too. A round makes the error damping times as large at most, so it is
+    under change * damping / (1 - damping) after a round; the rounds end when that is under tolerance. Each round's scores
+    are staged, so a round's plan doesn't grow."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
     steps = stage(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")), "steps")
     scores = stage(seeds.select("host", F.col("share").alias("score")), "scores")
     if steps.isEmpty():
         return scores
-    for _ in range(rounds):
+    while True:
         came = scores.join(steps, scores["host"] == steps["src"]).groupBy("dst").agg((damping * F.sum(F.col("score") * F.col("share"))).alias("came"))
         moved = came.agg(F.coalesce(F.sum("came"), F.lit(0.0))).first()[0]
         new = came.select(F.col("dst").alias("host"), F.col("came").alias("part"))
@@ -105,14 +108,13 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         change = both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
         unstage(scores)
         scores = new
-        if change < tolerance:
-            break
-    return scores
+        if change * damping < max(tolerance, FINEST) * (1 - damping):
+            return scores
 
 
 def judge_urls(
     pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS,
+    threshold: float = THRESHOLD, damping: float = DAMPING,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of pages.
 
@@ -140,7 +142,7 @@ def judge_urls(
     scores = hosts.select("host")
     for name, seeded, n, links in (("trust", "allowed", allowed, edges), ("distrust", "blocked", blocked, back)):
         seeds = hosts.where(F.col(seeded) > 0).select("host", (F.col(seeded) / F.lit(max(1, n))).alias("share"))
-        rank = page_rank(links, seeds, damping, rounds).select("host", F.col("score").alias(name))
+        rank = page_rank(links, seeds, damping, TOLERANCE * threshold / max(1, n_hosts)).select("host", F.col("score").alias(name))
         scores = scores.join(rank, "host", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     scores = stage(scores, "hosts")
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * max(1, n_hosts) >= threshold)

@@ -17,3 +17,13 @@ def test_linked_hosts_without_a_page_are_seeds(spark):
     links = url_filter.host_links(df).collect()
     assert sorted((r.src, r.path, r.weight) for r in links if r.dst == "example.com") == [("w.com", "/de/a", 9.0), ("z.com", "/de/a", 1.0), ("z.com", "/en/a", 1.0), ("z.com", "/en/b", 1.0)]
     assert [(r.dst, r.path) for r in links if r.src == "y.com"] == [("spam.net", "/")]
+
+
+def test_scores_reach_the_end_of_a_long_chain(spark):
+    n, damping = 24, 0.5
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(n)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h0", 1.0)], "host string, share double")
+    got = {r.host: r.score for r in url_filter.page_rank(edges, seeds, damping, tolerance=1e-8).collect()}
+    whole = (1 - damping ** (n + 1)) / (1 - damping)
+    want = {f"h{i}": damping**i / whole for i in range(n + 1)}
+    assert got.keys() == want.keys() and sum(abs(got[h] - want[h]) for h in want) < 1e-8
