@@ -17,34 +17,51 @@ LEAST_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letter or no likely language."""
+    """Without documents that have no letter or no likely language. If no row tells a language to learn, those with a
+    letter stay. Rows are judged each, whatever their ids; very long texts as others."""
     model = language_id.train(docs, language_id.vocabulary(tokenizer_path("piece_bpe_32k.model")), ~held_out())
-    told = language_id.identify(docs, model, keep=True)
-    return told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    row = F.struct(*docs.columns).alias("row")
+    told = language_id.identify(docs.select(row, F.col("text").alias("text")), model, id_col="row")
+    return told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents repeat stay in one of them; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Lines that many documents repeat stay in one of them; n_chars follows the text. No row goes; one whose lines all
+    went, or with a null text, has an empty text."""
+    out = line_dedup.dedup_lines(docs, n_lines="_n_lines", n_dropped="_n_dropped").select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One document of each group of near duplicates: that of the least id (a null id is the last; ties: either).
+
+    Every row is judged by a key of its own, so rows that repeat an id, or have none, are deduplicated like others. Rows
+    without words are in no group and stay.
+    """
+    keyed = stage(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")), "keyed")
+    texts = keyed.select("key", F.col("row.text").alias("text"))
+    groups = stage(near_dup.near_duplicates(texts, id_col="key").select("key", "component_id"), "near-groups")
+    ids = keyed.select("key", F.col("row.doc_id").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    kept = groups.join(ids, "key").groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias("key"))
+    return keyed.join(kept, "key", "left_semi").select("row.*")
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of which a twentieth or more is from the benchmark."""
+    """Without documents that hold a window of the benchmark, however long they are: in a long document a passage is a
+    small part, and is learned all the same. Documents without words stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits = decontaminate.benchmark_hits(docs.withColumn("row", F.struct(*docs.columns)), benchmark, id_col="row")
-    return decontaminate.contamination(hits, id_col="row").where("not contaminated").select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    hits = decontaminate.benchmark_hits(rows, benchmark, id_col="row")
+    return decontaminate.contamination(hits, id_col="row").where("n_hit = 0").select("row.*")
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences, as op2 gives them."""
     told = Path(tokenizer_path("word_bpe_49k.json")).read_text(encoding="utf-8")
     return packing.pack_documents(docs, told)
 
