@@ -31,10 +31,14 @@ class Fields:
 
 
 class Items:
-    """An array of records from a join. What lambdas read of its records is heard, so that no more need be gathered."""
+    """An array of records from a join. What lambdas read of its records is heard, so that no more need be gathered.
 
-    def __init__(self, column: Column, use: Callable[[str], None]):
-        self._inner, self._use = column, use
+    Where only the number of records, and sums and extremes of their fields are read, the join makes these instead of the
+    array; the column is then a record of them, named as COUNT and figure() say.
+    """
+
+    def __init__(self, column: Column, use: Callable[[str], None], figures: bool = False):
+        self._inner, self._use, self._figures = column, use, figures
 
     @property
     def _column(self) -> Column:
@@ -42,9 +46,70 @@ class Items:
         return self._inner
 
 
+#: The names of figures of a joined array begin so; no field's name does.
+MARK = "#"
+COUNT = "#count"
+#: What is heard where the array itself is gone over, whichever fields are read.
+WHOLE = ""
+
+
+def figure(kind: str, field: str) -> str:
+    return f"{MARK}{kind}:{field}"
+
+
+class Mapped:
+    """map_ of an array from a join, until it is known whether a figure of it is asked for or the array. Anything but the
+    functions of this library takes it as the array's column."""
+
+    def __init__(self, items: Items, f: Callable):
+        self._items, self._f = items, f
+
+    @property
+    def _column(self) -> Column:
+        items, f = self._items, self._f
+        items._use(WHOLE)
+        return F.transform(items._inner, lambda e: col(f(Fields(e, items._use))))
+
+    def __getitem__(self, i) -> Column:
+        return self._column[i]
+
+    def __getattr__(self, name: str):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return getattr(self._column, name)
+
+    def _field(self) -> str | None:
+        """The field that f gives as it is, if it does so."""
+        met: dict[str, object] = {}
+
+        class Met:
+            def __getattr__(self, name: str) -> object:
+                return met.setdefault(name, F.lit(name))
+
+            __getitem__ = __getattr__
+
+        try:
+            told = self._f(Met())
+        except Exception:  # f does more with its argument than reading a field
+            return None
+        return next((k for k, v in met.items() if v is told), None)
+
+
+def _figure(x, kind: str, plain: Callable[[Column], Column]) -> Column:
+    """plain of an array, or the join's figure of it."""
+    if isinstance(x, Mapped) and (name := x._field()) is not None:
+        told = figure(kind, name)
+        x._items._use(told)
+        if x._items._figures:
+            return x._items._inner[told]
+        return plain(F.transform(x._items._inner, lambda e: e[name]))
+    return plain(col(x))
+
+
 def _over(items, f: Callable) -> tuple[Column, Callable[[Column], Column]]:
     """The array, and f over its elements as columns."""
     if isinstance(items, Items):
+        items._use(WHOLE)
         return items._inner, lambda e: col(f(Fields(e, items._use)))
     return col(items), lambda e: col(f(e))
 
@@ -56,8 +121,12 @@ def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
 
 def length(x) -> Column:
     """Of an array or map."""
-    inner = x._inner if isinstance(x, Items) else col(x)
-    return F.size(inner).cast("bigint")
+    if isinstance(x, Mapped):
+        x = x._items
+    if isinstance(x, Items):
+        x._use(COUNT)
+        return x._inner[COUNT] if x._figures else F.size(x._inner).cast("bigint")
+    return F.size(col(x)).cast("bigint")
 
 
 def text_length(s) -> Column:
@@ -106,7 +175,9 @@ def to_set(x) -> Column:
     return F.array_distinct(col(x))
 
 
-def map_(items, f) -> Column:
+def map_(items, f) -> Column | Mapped:
+    if isinstance(items, Items):
+        return Mapped(items, f)
     array, g = _over(items, f)
     return F.transform(array, g)
 
@@ -136,13 +207,20 @@ def zip_(*arrays) -> Column:
 
 
 def aggregate_to_array(items, key, value) -> Column:
-    """Structs (_1 key, _2 values): keys ascending, values in their order."""
+    """Structs (_1 key, _2 values): keys ascending, null last, values in their order. Elements are sorted by key once, and
+    each group is a slice of them."""
     array, k = _over(items, key)
     _, v = _over(items, value)
-    pairs = F.transform(array, lambda e: F.struct(k(e).alias("k"), v(e).alias("v")))
-    keys = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["k"])))
-    own = lambda ps, x: F.transform(F.filter(ps, lambda p: p["k"].eqNullSafe(x)), lambda p: p["v"])
-    return _bound(pairs, lambda ps: F.transform(keys, lambda x: F.struct(x.alias("_1"), own(ps, x).alias("_2"))))
+    ranked = F.sort_array(F.transform(array, lambda e, i: F.struct(k(e).isNull().alias("n"), k(e).alias("k"), i.alias("i"))))
+    values = F.transform(array, v)
+
+    def grouped(s: Column, vs: Column) -> Column:
+        first = F.transform(s, lambda e, i: F.when((i == 0) | ~F.get(s, i - 1)["k"].eqNullSafe(e["k"]), i))
+        own = lambda b, e: F.transform(F.slice(s, b + 1, e - b), lambda x: F.get(vs, x["i"]))
+        made = lambda at: F.transform(at, lambda b, j: F.struct(F.get(s, b)["k"].alias("_1"), own(b, F.coalesce(F.get(at, j + 1), F.size(s))).alias("_2")))
+        return _bound(F.filter(first, lambda i: i.isNotNull()), made)
+
+    return _bound(ranked, lambda s: _bound(values, lambda vs: grouped(s, vs)))
 
 
 def aggregate_to_set(items, key, value) -> Column:
@@ -170,11 +248,11 @@ def shuffle(items, seed: int | None = None) -> Column:
 
 def total(items) -> Column:
     """Sum; 0 of nothing. Integers sum as Int, others as Float64."""
-    return F.aggregate(col(items), F.lit(0.0), lambda a, x: a + x)
+    return _figure(items, "total", lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x))
 
 
 def total_int(items) -> Column:
-    return F.aggregate(col(items), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return _figure(items, "total_int", lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x))
 
 
 def reduce_(items, start, f) -> Column:
@@ -183,11 +261,11 @@ def reduce_(items, start, f) -> Column:
 
 
 def greatest(items) -> Column:
-    return F.array_max(col(items))
+    return _figure(items, "greatest", F.array_max)
 
 
 def least(items) -> Column:
-    return F.array_min(col(items))
+    return _figure(items, "least", F.array_min)
 
 
 def _ranked(items, f, pick: Callable[[Column], Column]) -> Column:

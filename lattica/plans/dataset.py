@@ -2,12 +2,15 @@
 
 A plan is a tree of steps. Lowering it asks each step for the fields that the steps above read, so that a nesting join
 gathers no more of its right records than that (Catalyst can't narrow an array of records once it is gathered), and
-leaves a join out where nothing of it is read and rows can't multiply. All else is left to Catalyst.
+leaves a join out where nothing of it is read and rows can't multiply. Where the steps above read only figures of the
+right records (their number, sums, extremes), the join aggregates these and gathers no records. All else is left to
+Catalyst.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica import types as L
-from lattica.functions.collections import Fields, Items
+from lattica.functions.collections import COUNT, MARK, WHOLE, Fields, Items, Mapped, figure
 from lattica.functions.scalars import col
 from lattica.operators.aggregate import Agg
 from lattica.operators.join import RightSpec
@@ -23,6 +26,9 @@ from lattica.operators.join import RightSpec
 #: Fields read of a step's output, with the fields read of a nested one ("*": all). None: everything.
 Need = dict[str, set[str]] | None
 
+#: Whether steps are asked for the fields that are read only, or for all.
+_pruning: ContextVar[bool] = ContextVar("pruning", default=True)
+
 
 class Row:
     """What a lambda gets: fields as attributes. Fields with records inside are Fields or Items; the row as a column is a
@@ -39,7 +45,7 @@ class Row:
         use = self._read.setdefault(name, set()).add
         column, kind = self._df[name], self._df.schema[name].dataType
         if isinstance(kind, T.StructType):
-            return Fields(column, use)
+            return Items(column, use, True) if kind.names and kind.names[0].startswith(MARK) else Fields(column, use)
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
             return Items(column, use)
         use("*")
@@ -72,7 +78,9 @@ class Dataset:
 
     def frame(self, need: Need = None) -> DataFrame:
         """The plan as a DataFrame; equal requests give the same one, so that Spark reuses exchanges."""
-        told = repr(need and sorted((k, sorted(v)) for k, v in need.items()))
+        if not _pruning.get():
+            need = None
+        told = repr((_pruning.get(), need and sorted((k, sorted(v)) for k, v in need.items())))
         if told not in self._memo:
             self._memo[told] = self._lower(need)
         return self._memo[told]
@@ -90,8 +98,8 @@ class Dataset:
         elif isinstance(made, dict):
             made = list(made.values())
         for v in made if isinstance(made, list) else [made]:
-            if isinstance(v, Row | Fields | Items):
-                v._column  # noqa: B018
+            if isinstance(v, Row | Fields | Items | Mapped):
+                col(v)
         return read
 
     def filter(self, f: Callable) -> Dataset:
@@ -197,18 +205,29 @@ class Dataset:
             kept = [c for c in df.columns if need is None or c in need]
             df = df.select("*", col(key(Row(df, {}))).alias("__key"))
             for name, spec in rights.items():
-                used = None if need is None else need.get(name, set()) | ({"*"} if f"{name}_index" in need else set())
-                if need is not None and not used and not spec.one and name not in need:
+                used = None if need is None else need.get(name, set()) or {COUNT}
+                index = need is None or f"{name}_index" in need
+                if need is not None and not spec.one and name not in need and not (spec.indexed and index):
                     continue
-                df = _joined(df, name, spec, None if used is None or "*" in used else used)
+                if need is not None and name not in need:
+                    used = set()
+                df = _joined(df, name, spec, None if used is None or "*" in used else used, index)
                 kept += [c for c in (name, f"{name}_index") if c in df.columns]
             return df.select(*kept)
 
         return Dataset(lower)
 
     def collect(self, disable_column_pruning: bool = False) -> list[T.Row]:
-        """The action. Without pruning, all fields of all steps are read."""
-        return self.frame().collect()
+        """The action. Without pruning, all fields of all steps are read, and joins gather whole records."""
+        return (self.unpruned() if disable_column_pruning else self.frame()).collect()
+
+    def unpruned(self) -> DataFrame:
+        """The plan in which every step has all its fields. Catalyst itself may still leave columns out."""
+        told = _pruning.set(False)
+        try:
+            return self.frame()
+        finally:
+            _pruning.reset(told)
 
     def explain(self) -> None:
         self.frame().explain("formatted")
@@ -248,13 +267,25 @@ def _matches(df: DataFrame, other: DataFrame) -> Column:
     return df["__key"].eqNullSafe(other["__rkey"]) if nulls else df["__key"] == other["__rkey"]
 
 
-def _joined(df: DataFrame, name: str, spec: RightSpec, used: set[str] | None) -> DataFrame:
-    """df with the field of spec; used: the fields of its records that are read (None: all; empty: only their number)."""
+def declared(column: T.StructField) -> T.DataType:
+    """A column's type; of a join's figures, that of the array whose they are."""
+    return T._parse_datatype_json_string(column.metadata[MARK]) if MARK in (column.metadata or {}) else column.dataType
+
+
+def _fields(used: set[str]) -> set[str]:
+    """The fields that are read, in figures too."""
+    return {u.split(":", 1)[1] if u.startswith(MARK) else u for u in used if u not in (COUNT, WHOLE)}
+
+
+def _joined(df: DataFrame, name: str, spec: RightSpec, used: set[str] | None, index: bool) -> DataFrame:
+    """df with the field of spec, and its index if that is read; used: the fields and figures of its records that are read
+    (None: all; empty: none)."""
+    wanted = None if used is None else _fields(used)
     parts = []
     for i, d in enumerate(spec.datasets):
         key_reads = d._reads(spec.key)
-        own = d.frame(None if used is None else _union({u: {"*"} for u in used}, key_reads))
-        fields = [c for c in d.schema.names if used is None or c in used]
+        own = d.frame(None if wanted is None else _union({u: {"*"} for u in wanted}, key_reads))
+        fields = [c for c in d.schema.names if wanted is None or c in wanted]
         record = F.struct(*(own[c].alias(c) for c in fields)) if fields else F.struct(F.lit(True).alias("__row"))
         parts.append(own.select(col(spec.key(Row(own, {}))).alias("__rkey"), record.alias(name), F.lit(i).cast("long").alias("__source")))
     right = parts[0]
@@ -263,13 +294,43 @@ def _joined(df: DataFrame, name: str, spec: RightSpec, used: set[str] | None) ->
         return out.drop("__rkey")
     for p in parts[1:]:
         right = right.unionByName(p)
-    if not spec.indexed:
-        right = right.groupBy("__rkey").agg(F.collect_list(name).alias(name))
+    sources = range(len(parts))
+    if used is not None and all(u.startswith(MARK) for u in used):
+        counts = [F.count_if(F.col("__source") == i).alias(f"__n{i}") for i in sources]
+        right = right.groupBy("__rkey").agg(*counts, *(_aggregated(name, u).alias(u) for u in sorted(used - {COUNT})))
         out = df.join(right, _matches(df, right), "left")
-        return out.withColumn(name, F.coalesce(name, F.array().cast(right.schema[name].dataType))).drop("__rkey")
-    entry = F.struct(F.col("__source").alias("i"), F.col(name).alias("r"))
-    right = right.groupBy("__rkey").agg(F.collect_list(entry).alias("__all"))
-    right = right.withColumn("__all", F.array_sort("__all", lambda a, b: (a["i"] - b["i"]).cast("int")))
+        n = [F.coalesce(f"__n{i}", F.lit(0)).cast("long") for i in sources]
+        told = [_of_none(u, F.col(f"`{u}`")).alias(u) for u in sorted(used - {COUNT})]
+        # What the array would be stands beside the figures, for those who ask for the field's type.
+        array = T.ArrayType(spec.datasets[0].schema, False).json()
+        out = out.select("*", F.struct(sum(n[1:], n[0]).alias(COUNT), *told).alias("__figures", metadata={MARK: array}))
+        if spec.indexed and index:
+            out = out.withColumn(f"{name}_index", F.flatten(F.array(*(F.array_repeat(F.lit(i).cast("long"), k.cast("int")) for i, k in zip(sources, n, strict=True)))))
+        out = out.drop("__rkey", *(f"__n{i}" for i in sources), *(used - {COUNT}))
+        return out.withColumnRenamed("__figures", name) if used else out.drop("__figures")
+    lists = [F.collect_list(F.when(F.col("__source") == i, F.col(name)) if spec.indexed else name).alias(f"__l{i}") for i in sources]
+    right = right.groupBy("__rkey").agg(*lists)
     out = df.join(right, _matches(df, right), "left")
-    all_ = F.coalesce("__all", F.array().cast(right.schema["__all"].dataType))
-    return out.withColumn(name, all_["r"]).withColumn(f"{name}_index", all_["i"]).drop("__rkey", "__all")
+    own = [F.coalesce(f"__l{i}", F.array().cast(right.schema[f"__l{i}"].dataType)) for i in sources]
+    out = out.withColumn(name, F.concat(*own) if spec.indexed else own[0])
+    if spec.indexed:
+        out = out.withColumn(f"{name}_index", F.flatten(F.array(*(F.array_repeat(F.lit(i).cast("long"), F.size(x)) for i, x in zip(sources, own, strict=True)))))
+    return out.drop("__rkey", *(f"__l{i}" for i in sources))
+
+
+def _aggregated(name: str, told: str) -> Column:
+    """A figure of a group's records, as functions of arrays have it: a sum with a null is null."""
+    kind, field = told[len(MARK) :].split(":", 1)
+    x = F.col(name)[field]
+    if kind in ("greatest", "least"):
+        return F.max(x) if kind == "greatest" else F.min(x)
+    summed = F.sum(x).cast("double" if kind == "total" else "bigint")
+    return F.when(F.count(x) == F.count(F.lit(1)), summed)
+
+
+def _of_none(told: str, x: Column) -> Column:
+    """The figure where there may be no records at all."""
+    nothing = F.col("__n0").isNull()
+    if told.startswith(figure("total", "")):
+        return F.when(nothing, F.lit(0.0)).otherwise(x)
+    return F.when(nothing, F.lit(0).cast("long")).otherwise(x) if told.startswith(figure("total_int", "")) else x

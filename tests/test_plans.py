@@ -42,6 +42,57 @@ def test_only_read_fields_are_gathered(sides):
     assert "wide" in plan(many)
 
 
+def figures(r):
+    v = f.map_(r.o, lambda o: o.v)
+    return {"name": r.name, "n": f.length(r.o), "no": f.empty(r.o), "t": f.total(v), "i": f.total_int(v), "hi": f.greatest(v), "lo": f.least(f.map_(r.o, lambda o: o["v"]))}
+
+
+def test_figures_of_a_join_need_no_arrays(sides):
+    """The same figures with and without the records themselves."""
+    left, right = sides
+    for rights in (right.join_multi_by(lambda r: r.k), join_multi_by([right, right.filter(lambda r: r.v > 10)], lambda r: r.k)):
+        many = left.join_left(lambda r: r.k, o=rights)
+        lean, whole = many.map(figures), many.map(lambda r: figures(r) | {"s": f.map_(r.o, lambda o: o.v + 1)})
+        assert "collect_list" not in plan(lean) and "collect_list" in plan(whole) and "wide" not in plan(lean)
+        names = lean.schema.names
+        assert [f_.dataType for f_ in lean.schema] == [f_.dataType for f_ in whole.schema if f_.name != "s"]
+        rows = lambda ds: sorted(repr([r[c] for c in names]) for r in ds.collect())
+        assert rows(lean) == rows(whole)
+        assert rows(many.filter(lambda r: f.length(r.o) > 0).map(figures)) == [x for x in rows(lean) if ", 0, True" not in x]
+    n = lambda r, i: f.length(f.filter_(r.o_index, lambda k: k == i))
+    told = many.map(lambda r: {"name": r.name, "one": n(r, 0), "two": n(r, 1), "all": f.total_int(r.o_index)})
+    assert "collect_list" not in plan(told)
+    assert sorted(map(tuple, told.collect())) == [("a", 2, 1, 1), ("b", 2, 1, 1), ("c", 0, 0, 0), ("d", 1, 1, 1)]
+
+
+def test_a_sum_with_a_null_is_null(spark):
+    left = of(spark.createDataFrame([(1,), (2,), (3,)], "k long"))
+    right = of(spark.createDataFrame([(1, 5.0), (1, None), (2, 2.0)], "k long, v double"))
+    many = left.join_left(lambda r: r.k, o=right.join_multi_by(lambda r: r.k))
+    v = lambda r: f.map_(r.o, lambda o: o.v)
+    lean, whole = many.map(lambda r: {"k": r.k, "t": f.total(v(r)), "hi": f.greatest(v(r))}), many.map(lambda r: {"k": r.k, "t": f.total(v(r)), "hi": f.greatest(v(r)), "a": f.at(v(r), 0)})
+    assert sorted(map(tuple, lean.collect())) == sorted(tuple(r)[:3] for r in whole.collect()) == [(1, None, 5.0), (2, 2.0, 2.0), (3, 0.0, None)]
+
+
+def test_headline_joins_gather_no_arrays(spark):
+    import pathlib
+
+    from lattica import queries as Q
+
+    if not pathlib.Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no driver tables here")
+    for name in ("join_multi", "join_multi_array", "join_mixed", "join_mixed_totals"):
+        assert "collect_list" not in Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_without_pruning_all_is_gathered(sides):
+    left, right = sides
+    many = left.join_left(lambda r: r.k, o=right.join_multi_by(lambda r: r.k)).map(lambda r: {"name": r.name, "n": f.length(r.o)})
+    analysed = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "collect_list" in analysed(many.unpruned()) and "wide" in analysed(many.unpruned()) and "collect_list" not in analysed(many.frame())
+    assert sorted(map(tuple, many.collect(disable_column_pruning=True))) == sorted(map(tuple, many.collect()))
+
+
 def test_filter_reaches_the_scan(spark, sides):
     left, _ = sides
     told = plan(left.filter(lambda r: r.name == "a").map(lambda r: {"name": r.name}))
