@@ -42,7 +42,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A path for a file that a query writes, where driver and executors both see it."""
     import uuid
 
-    told = spark.conf.get("spark.checkpoint.dir", None) or f"file:/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        told = f"file:/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return f"{told}/lattica/{name}-{uuid.uuid4().hex}"
 
 
@@ -125,8 +130,8 @@ def map_project(t):
 def flat_map_words(t):
     from pyspark.sql import functions as F
 
-    words = t.documents.flat_map(lambda r: f.map_(F.split(r.text, " "), lambda w: f.tuple_(word=w)))
-    return words.filter(lambda r: r.word != "").aggregate(lambda r: agg(r).group_by(word=r.word).count(n=1))
+    words = t.documents.flat_map(lambda r: F.split(r.text, " "))
+    return words.filter(lambda r: r.value != "").aggregate(lambda r: agg(r).group_by(word=r.value).count(n=1))
 
 
 @query("SELECT o_orderkey AS key, i AS i FROM orders, (VALUES (1::BIGINT), (2::BIGINT)) v(i) WHERE o_orderkey % 2 = 0")
@@ -255,45 +260,45 @@ def join_multi_array(t):
     return joined.map(lambda r: {"c_custkey": r.c_custkey, "open": of(r, 0), "done": of(r, 1)})
 
 
-def mixed_join(t):
-    return t.customer.filter(lambda r: r.c_custkey % 2 == 0).join_left(
-        lambda r: r.c_custkey,
-        home=t.nation.map(lambda r: {"id": r.n_nationkey.cast("bigint"), "n_name": r.n_name}).join_by(lambda r: r.id),
-        orders=t.orders.join_multi_by(lambda r: r.o_custkey),
-        both=join_multi_by([t.orders, t.orders.filter(lambda r: r.o_orderstatus == "O")], lambda r: f.floor_mod(r.o_custkey, 500) + 1),
-    )
+def stocked(t):
+    """Suppliers with their nation, all their lines, and those sent back or taken."""
+    back, taken = (t.lineitem.filter(lambda r, s=s: r.l_returnflag == s) for s in "RA")
+    return t.supplier.filter(lambda r: r.s_acctbal > 0).join_left(
+        lambda r: r.s_suppkey, lines=t.lineitem.join_multi_by(lambda r: r.l_suppkey), settled=join_multi_by([back, taken], lambda r: r.l_suppkey)
+    ).join_left(lambda r: r.s_nationkey, home=t.nation.join_by(lambda r: r.n_nationkey))
 
 
-MIXED = """
-WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
-b AS (SELECT o_custkey % 500 + 1 AS k, count(*) + count(*) FILTER (WHERE o_orderstatus = 'O') AS n, count(*) FILTER (WHERE o_orderstatus = 'O') AS i FROM orders GROUP BY 1)
+STOCK = """
+WITH l AS (SELECT l_suppkey AS k, count(*) AS n, sum(l_quantity) AS q, count(*) FILTER (WHERE l_returnflag = 'R') AS back, count(*) FILTER (WHERE l_returnflag = 'A') AS taken FROM lineitem GROUP BY 1)
 """
 
 
-@query(MIXED + "SELECT c_custkey, n_name, coalesce(o.n, 0) AS n, coalesce(b.n, 0) AS n_both, coalesce(b.i, 0)::BIGINT AS sources FROM customer LEFT JOIN nation ON c_custkey = n_nationkey LEFT JOIN o ON c_custkey = o_custkey LEFT JOIN b ON c_custkey = k WHERE c_custkey % 2 = 0")
+@query(STOCK + "SELECT s_suppkey, n_name, coalesce(n, 0) AS n, coalesce(q, 0) AS quantity, coalesce(back + taken, 0) AS settled, coalesce(taken, 0) AS taken FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN l ON s_suppkey = k WHERE s_acctbal > 0")
 def join_mixed(t):
-    return mixed_join(t).map(
-        lambda r: {"c_custkey": r.c_custkey, "n_name": r.home.n_name, "n": f.length(r.orders), "n_both": f.length(r.both), "sources": f.total_int(r.both_index)}
+    return stocked(t).map(
+        lambda r: {"s_suppkey": r.s_suppkey, "n_name": r.home.n_name, "n": f.length(r.lines), "quantity": f.total(f.map_(r.lines, lambda x: x.l_quantity)), "settled": f.length(r.settled), "taken": f.total_int(r.settled_index)}
     )
 
 
-@query(MIXED + "SELECT count(*) AS n, sum(o.n)::BIGINT AS orders, sum(coalesce(b.n, 0))::BIGINT AS n_both FROM customer JOIN o ON c_custkey = o_custkey LEFT JOIN b ON c_custkey = k WHERE c_custkey % 2 = 0")
-def join_demo_totals(t):
-    kept = mixed_join(t).filter(lambda r: ~f.empty(r.orders))
-    return kept.aggregate(lambda r: agg(r).count(n=1).sum(orders=f.length(r.orders), n_both=f.length(r.both)))
-
+@query(STOCK + "SELECT count(*) AS n, sum(n)::BIGINT AS lines, sum(back + taken)::BIGINT AS settled FROM supplier JOIN l ON s_suppkey = k WHERE s_acctbal > 0")
+def join_mixed_totals(t):
+    kept = stocked(t).filter(lambda r: ~f.empty(r.lines))
+    return kept.aggregate(lambda r: agg(r).count(n=1).sum(lines=f.length(r.lines), settled=f.length(r.settled)))
 
-@query("SELECT a.k, count(b.c_custkey) AS n FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey <= 40) a LEFT JOIN (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey <= 60) b ON a.k IS NOT DISTINCT FROM b.k GROUP BY 1")
-def join_null_key(t):
-    from pyspark.sql import functions as F
 
-    some = lambda n: t.customer.filter(lambda r: r.c_custkey <= n).map(lambda r: {"id": r.c_custkey, "k": F.nullif(r.c_nationkey, F.lit(3))})
-    joined = some(40).join_left(lambda r: r.k, o=some(60).join_multi_by(lambda r: r.k))
-    return joined.aggregate(lambda r: agg(r).group_by(k=r.k).sum(n=f.length(r.o)))
+@query(
+    "SELECT c_custkey, count(o_orderkey) AS n, max(o_totalprice) AS high, min(o_orderkey) AS first, coalesce(sum(o_orderkey), 0)::BIGINT AS keys, "
+    "coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS told FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"
+)
+def join_multi_records(t):
+    """Figures of the records and the records themselves, so arrays are gathered."""
+    joined = t.customer.join_left(lambda r: r.c_custkey, o=t.orders.join_multi_by(lambda r: r.o_custkey))
+    keys = lambda r: f.map_(r.o, lambda o: o.o_orderkey)
+    return joined.map(lambda r: {"c_custkey": r.c_custkey, "n": f.length(r.o), "high": f.greatest(f.map_(r.o, lambda o: o.o_totalprice)), "first": f.least(keys(r)), "keys": f.total_int(keys(r)), "told": f.concat(f.map_(f.sort(keys(r), lambda x: x), f.to_string), ",")})
 
 
 @query("SELECT nullif(c_nationkey, 3) AS k, (count(*) * count(*))::BIGINT AS n FROM customer GROUP BY 1")
-def join_null_key_whole(t):
+def join_null_key(t):
     """All customers on both sides, so that null is a hot key."""
     from pyspark.sql import functions as F
 
@@ -308,40 +313,43 @@ def join_unused_pruned(t):
 
 
 @query(
-    "WITH v AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority DESC) AS k FROM v WHERE n >= 2) "
-    "SELECT c.o_custkey AS person, r.o_orderpriority AS assigned FROM (SELECT DISTINCT o_custkey FROM orders) c LEFT JOIN r ON c.o_custkey = r.o_custkey AND k = 1"
+    "WITH s AS (SELECT conv_id, role, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY 1, 2), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY chars DESC, role DESC) AS k FROM s WHERE n >= 2) "
+    "SELECT c.conv_id AS conv, r.role AS loudest, c.n AS turns FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) c LEFT JOIN r ON c.conv_id = r.conv_id AND k = 1"
 )
-def attribution_flagship(t):
+def loudest_speakers(t):
+    """Who says most in each conversation, of those who speak twice: groups within a group's records."""
     from pyspark.sql import functions as F
 
-    people = t.orders.aggregate(lambda r: agg(r).group_by(person=r.o_custkey).to_array(visits=r))
+    talks = t.conversations.aggregate(lambda r: agg(r).group_by(conv=r.conv_id).to_array(said=r))
 
-    def assigned(r):
-        groups = f.aggregate_to_array(r.visits, lambda v: v.o_orderpriority, lambda v: v.o_orderkey)
-        counted = f.map_(groups, lambda g: f.tuple_(name=g["_1"], n=f.length(g["_2"])))
-        best = f.max_by(f.filter_(counted, lambda g: g["n"] >= 2), lambda g: F.struct(g["n"], g["name"]))
-        return {"person": r.person, "assigned": f.ensured_run(best, lambda b: b["name"])}
+    def loudest(r):
+        by_role = f.aggregate_to_array(r.said, lambda s: s.role, lambda s: f.text_length(s.text))
+        told = f.map_(by_role, lambda g: f.tuple_(role=g["_1"], n=f.length(g["_2"]), chars=f.total_int(g["_2"])))
+        best = f.max_by(f.filter_(told, lambda g: g["n"] >= 2), lambda g: F.struct(g["chars"], g["role"]))
+        return {"conv": r.conv, "loudest": f.ensured_run(best, lambda b: b["role"]), "turns": f.length(r.said)}
 
-    return people.map(assigned)
+    return talks.map(loudest)
 
 
-# Collections inside a record. Arrays are the words of a text, or the digits of a key. Each query on the words of a text's
-# beginning has a second one, named _whole, on all of the text's words.
+# Collections inside a record. Arrays are all the words of a text, or the numbers of a vector.
 
-WORDS, WHOLE = "string_split(substr(text, 1, 200), ' ')", "string_split(text, ' ')"
+WORDS = "string_split(text, ' ')"
 
 
 def _collection(name: str, sql: str, made: Callable, table: str = "documents", key: str = "doc_id", source: str = WORDS) -> None:
     from pyspark.sql import functions as F
 
     def run(t):
-        words = lambda r: F.split(F.substring(r.text, 1, 200), " ") if source == WORDS else F.split(r.text, " ") if source == WHOLE else r[source]
-        return getattr(t, table).map(lambda r: {key: r[key], "x": made(words(r))})
+        return getattr(t, table).map(lambda r: {key: r[key], "x": made(F.split(r.text, " ") if source == WORDS else r[source])})
 
     run.__name__ = name
     query(f"SELECT {key}, {sql.format(a=source)} AS x FROM {table}")(run)
-    if source == WORDS:
-        _collection(f"{name}_whole", sql, made, table, key, WHOLE)
+
+
+def _told(array, join: str = " "):
+    """An array of numbers as a text."""
+    return f.concat(f.map_(array, f.to_string), join)
 
 
 _collection("arr_len", "len({a})", f.length)
@@ -350,11 +358,11 @@ _collection("arr_contains", "list_contains({a}, 'of')", lambda a: f.contains(a,
 _collection("arr_in", "list_contains({a}, 'the')", lambda a: f.in_("the", a))
 _collection("arr_to_array", "array_to_string({a}, '|')", lambda a: f.concat(f.to_array(a), "|"))
 _collection("arr_concat", "array_to_string({a}, '-')", lambda a: f.concat(a, "-"))
-_collection("arr_to_set", "len(list_distinct({a}))", lambda a: f.length(f.to_set(a)))
+_collection("arr_to_set", "array_to_string(list_sort(list_distinct({a})), ' ')", lambda a: f.concat(f.sort(f.to_set(a), lambda w: w), " "))
 _collection("arr_map", "array_to_string(list_transform({a}, lambda w: w || '!'), ' ')", lambda a: f.concat(f.map_(a, lambda w: _join(w, "!")), " "))
-_collection("arr_filter", "len(list_filter({a}, lambda w: length(w) > 4))", lambda a: f.length(f.filter_(a, lambda w: f.text_length(w) > 4)))
-_collection("arr_zip2", "least(len({a}), 3)", lambda a: f.length(f.zip_(a, f.array(1, 2, 3))))
-_collection("arr_zip3", "least(len({a}), 2)", lambda a: f.length(f.zip_(a, f.array(1, 2, 3), f.array(1, 2))))
+_collection("arr_filter", "array_to_string(list_filter({a}, lambda w: length(w) > 4), ' ')", lambda a: f.concat(f.filter_(a, lambda w: f.text_length(w) > 4), " "))
+_collection("arr_zip2", "array_to_string(list_transform(range(1, least(len({a}), 3) + 1), lambda i: {a}[i] || i::VARCHAR), ' ')", lambda a: f.concat(f.map_(f.zip_(a, f.array(1, 2, 3)), lambda z: _join(z["_1"], f.to_string(z["_2"]))), " "))
+_collection("arr_zip3", "array_to_string(list_transform(range(1, least(len({a}), 2) + 1), lambda i: {a}[i] || i::VARCHAR || i::VARCHAR), ' ')", lambda a: f.concat(f.map_(f.zip_(a, f.array(1, 2, 3), f.array(1, 2)), lambda z: _join(z["_1"], f.to_string(z["_2"]), f.to_string(z["_3"]))), " "))
 _collection("arr_zip4", "coalesce({a}[1], '') || '4'", lambda a: f.concat(f.map_(f.zip_(a, f.array(1), f.array(2), f.array("4")), lambda z: _join(z["_1"], z["_4"])), ""))
 _collection("arr_sort", "array_to_string(list_sort({a}), ' ')", lambda a: f.concat(f.sort(a, lambda w: w), " "))
 _collection("arr_sort_reverse", "array_to_string(list_reverse_sort({a}), ' ')", lambda a: f.concat(f.sort(a, lambda w: w, True), " "))
@@ -365,11 +373,15 @@ _collection("arr_max", "list_max({a})", f.greatest)
 _collection("arr_min", "list_min({a})", f.least)
 _collection("arr_max_by", "list_max(list_transform({a}, lambda w: lpad(length(w)::VARCHAR, 6, '0') || w))[7:]", lambda a: f.max_by(a, f.text_length))
 _collection("arr_min_by", "list_min(list_transform({a}, lambda w: lpad(length(w)::VARCHAR, 6, '0') || w))[7:]", lambda a: f.min_by(a, f.text_length))
-_collection("arr_range", "len(range(2, len({a}), 3))", lambda a: f.length(f.range_(2, f.length(a), 3)))
-_collection("arr_range_down", "len(range(len({a}), 2, -1))", lambda a: f.length(f.range_(f.length(a), 2, -1)))
-_collection("arr_flatten", "2 * len({a})", lambda a: f.length(f.flatten(f.array(a, a))))
+_collection("arr_range", "array_to_string(range(2, len({a}), 3), ' ')", lambda a: _told(f.range_(2, f.length(a), 3)))
+_collection("arr_range_down", "array_to_string(range(len({a}), 2, -1), ' ')", lambda a: _told(f.range_(f.length(a), 2, -1)))
+_collection("arr_flatten", "array_to_string(list_concat({a}, {a}), ' ')", lambda a: f.concat(f.flatten(f.array(a, a)), " "))
 _collection("arr_reduce", "list_sum(list_transform({a}, lambda w: length(w)))::BIGINT", lambda a: f.reduce_(a, f.to_int(0), lambda s, w: s + f.text_length(w)))
-_collection("arr_to_map", "len(list_distinct(list_transform({a}, lambda w: length(w))))", lambda a: f.length(f.to_map(a, f.text_length, lambda w: w)))
+_collection(
+    "arr_to_map",
+    "array_to_string(list_transform(list_sort(list_distinct(list_transform({a}, lambda w: length(w)))), lambda n: n::VARCHAR || '=' || list_last(list_filter({a}, lambda w: length(w) = n))), ' ')",
+    lambda a: f.concat(f.map_(f.sort(f.map_to_array(f.to_map(a, f.text_length, lambda w: w)), lambda e: e["key"]), lambda e: _join(f.to_string(e["key"]), "=", e["value"])), " "),
+)
 _collection("arr_to_map_last", "list_last(list_filter({a}, lambda w: length(w) = 3))", lambda a: f.value_of(f.to_map(a, f.text_length, lambda w: w), f.to_int(3)))
 _collection(
     "arr_aggregate_to_array",
@@ -378,8 +390,8 @@ _collection(
 )
 _collection(
     "arr_aggregate_to_set",
-    "list_sum(list_transform(list_distinct(list_transform({a}, lambda w: length(w))), lambda n: len(list_distinct(list_filter({a}, lambda w: length(w) = n)))))::BIGINT",
-    lambda a: f.total_int(f.map_(f.aggregate_to_set(a, f.text_length, lambda w: w), lambda g: f.length(g["_2"]))),
+    "array_to_string(list_transform(list_sort(list_distinct(list_transform({a}, lambda w: length(w)))), lambda n: n::VARCHAR || ':' || array_to_string(list_sort(list_distinct(list_filter({a}, lambda w: length(w) = n))), '+')), ' ')",
+    lambda a: f.concat(f.map_(f.aggregate_to_set(a, f.text_length, lambda w: w), lambda g: _join(f.to_string(g["_1"]), ":", f.concat(f.sort(g["_2"], lambda w: w), "+"))), " "),
 )
 _collection("arr_native", "len(list_filter({a}, lambda v: v > 0))", lambda a: f.length(f.filter_(a, lambda v: v > 0)), "embeddings", "vec_id", "embedding")
 
@@ -445,26 +457,29 @@ def _plus(x):
 
 LANG = """
 import dataset
-schema Customer = { c_custkey: Int; c_nationkey: Int32; }
-schema Order = { o_orderkey: Int; o_custkey: Int; o_orderstatus: String; o_orderpriority: String; }
-schema Assignment = { person: Int; assigned: Nullable<String>; }
+schema Turn = { conv_id: Int; role: String; text: String; }
+schema Talk = { conv: Int; loudest: Nullable<String>; turns: UInt; }
+schema Supplier = { s_suppkey: Int; s_acctbal: Float64; }
+schema Line = { l_suppkey: Int; l_quantity: Float64; l_returnflag: String; }
+schema Order = { o_orderkey: Int; o_custkey: Int; o_orderstatus: String; }
 param least: UInt = 2;
 def orders(dir: String) => dataset.read_parquet(Order(), dir + "/orders.parquet")
-def customers(dir: String) => dataset.read_parquet(Customer(), dir + "/customer.parquet")
-def assign(visits: Array<Order>, least: UInt) => visits
-  .aggregate_to_array(v => v.o_orderpriority, v => v.o_orderkey)
+def lines(dir: String) => dataset.read_parquet(Line(), dir + "/lineitem.parquet")
+def settled(dir: String, how: String) => lines(dir).filter((x, how = how) => x.l_returnflag == how)
+def loudest(said: Array<Turn>, least: UInt) => said
+  .aggregate_to_array(s => s.role, s => len(s.text))
   .filter((g, n = least) => len(g[1]) >= n)
-  .max_by(g => len(g[1]))
+  .max_by(g => sum(g[1]))
   .ensured_run(g => g[0])
-def demo_assign(dir: String) => orders(dir)
-  .aggregate(o => dataset.agg(o).group_by({person = o.o_custkey}).to_array({visits = o}))
-  .map(c => Assignment(person = c.person, assigned = assign(c.visits, least)))
-def demo_join(dir: String) => customers(dir).filter(c => c.c_custkey % 2 == 0)
-  .join_left(c => c.c_custkey, {
-    orders = orders(dir).join_multi_by(o => o.o_custkey),
-    both = [orders(dir), orders(dir).filter(o => o.o_orderstatus == "O")].join_multi_by(o => o.o_custkey % 500 + 1)})
-  .filter(c => len(c.orders) > 0u)
-  .aggregate(c => dataset.agg(c).count({n = 1}).sum({orders = len(c.orders), n_both = len(c.both)}))
+def talks(dir: String) => dataset.read_parquet(Turn(), dir + "/conversations.parquet")
+  .aggregate(s => dataset.agg(s).group_by({conv = s.conv_id}).to_array({said = s}))
+  .map(c => Talk(conv = c.conv, loudest = loudest(c.said, least), turns = len(c.said)))
+def stock(dir: String) => dataset.read_parquet(Supplier(), dir + "/supplier.parquet").filter(s => s.s_acctbal > 0)
+  .join_left(s => s.s_suppkey, {
+    lines = lines(dir).join_multi_by(x => x.l_suppkey),
+    settled = [settled(dir, "R"), settled(dir, "A")].join_multi_by(x => x.l_suppkey)})
+  .filter(s => len(s.lines) > 0u)
+  .aggregate(s => dataset.agg(s).count({n = 1}).sum({lines = len(s.lines), settled = len(s.settled)}))
 def band(n: Int) : String => {
   if (n < 10) { return "low" } elif (n < 50) { return "mid" }
   "high"
@@ -494,8 +509,8 @@ def _program(name: str, function: str, sql: str) -> None:
     query(sql)(run)
 
 
-_program("lang_demo_assign", "demo_assign", ORACLE["attribution_flagship"])
-_program("lang_demo_join", "demo_join", ORACLE["join_demo_totals"])
+_program("lang_talks", "talks", ORACLE["loudest_speakers"])
+_program("lang_stock", "stock", ORACLE["join_mixed_totals"])
 _program(
     "lang_control", "demo_control",
     "SELECT o_orderkey, CASE WHEN o_custkey < 10 THEN 'low' WHEN o_custkey < 50 THEN 'mid' ELSE 'high' END AS band, o_orderstatus || '?' AS status, "

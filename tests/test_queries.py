@@ -10,7 +10,7 @@ import pytest
 from lattica import queries as Q
 
 SF = Path("/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations".split()
 
 
 @pytest.fixture(scope="module")
