@@ -74,6 +74,37 @@ def gen_exp(scale: float, salt: str = "exp") -> Generator:
     return lambda i, n: (-F.log((_dice(i, salt, 1 << 30) + 1) / float(1 << 30)) * scale).cast("bigint")
 
 
+#: Made-up values for kinds of personal data; choices and lengths that look like the real ones.
+_MADE_UP: dict[str, Generator] = {
+    "first_name": gen_choice(["Ada", "Ben", "Chloe", "Dan", "Eva", "Femi", "Gita", "Hugo"], "first"),
+    "last_name": gen_choice(["Abel", "Brandt", "Costa", "Diaz", "Evans", "Fischer", "Gupta", "Haddad"], "last"),
+    "city": gen_choice(["Aston", "Brook", "Clayton", "Dover", "Easton"], "city"),
+    "state": gen_choice(["AL", "CA", "NY", "OH", "TX", "WA"], "state"),
+    "zipcode": gen_str(5, "0123456789", "zip"), "phone_number": gen_str(10, "0123456789", "phone"), "ssn": gen_str(9, "0123456789", "ssn"),
+    "street_address": gen_choice(["1 High Street", "22 Mill Lane", "7 Park Road", "305 Station Way"], "street"),
+}
+
+
+def generator(spec: list | tuple) -> Generator:
+    """The generator that a program's (kind, arguments) tells: str (length, alphabet), inc start, choice (options,), exp
+    scale, toint of another, or faker with the kind of personal data."""
+    if not isinstance(spec, list | tuple) or len(spec) != 2:
+        raise ValueError(f"generator: {spec} isn't a kind and its arguments")
+    kind, told = spec
+    args = list(told) if isinstance(told, list | tuple) else [told]
+    if kind == "toint":
+        inner = generator(told)
+        return lambda i, n: inner(i, n).cast("bigint")
+    if kind == "faker":
+        if args[0] not in _MADE_UP:
+            raise ValueError(f"generator: no personal data of the kind {args[0]}")
+        return _MADE_UP[args[0]]
+    kinds = {"str": gen_str, "inc": gen_inc, "exp": gen_exp, "choice": lambda options: gen_choice(list(options))}
+    if kind not in kinds:
+        raise ValueError(f"generator: no kind {kind}")
+    return kinds[kind](*args)
+
+
 #: By field name, the first that matches.
 DEFAULT_GENERATORS: list[tuple[str, Generator]] = [(r".*_?id", gen_inc(1)), (r".*(cents|amount|price|count)", gen_exp(1000.0)), (r".*", gen_str(10))]
 
