@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 
 #: Upper to lower case for A-Z only; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: A key is hot if it has more than one in so many of all rows.
+HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local folder if all tasks
+    run in this process, else an error: each executor would write to its own disk."""
     told = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{told or f'file:/tmp/checkpoints/{spark.sparkContext.applicationId}'}/lattica"
+    if not told:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        told = f"file:/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return f"{told}/lattica"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +52,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], copies: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table, which has one row for each key and in copies how many of the total rows
+    have that key.
+
+    The rows of a key that more than one in HOT_KEYS rows has are dealt to several tasks by a hash of spread, each with
+    a copy of the key's row. There are fewer than HOT_KEYS such keys, so what is broadcast, which is their names, has a
+    bound; so have the copies, twice HOT_KEYS.
+    """
+    salts = F.least(F.ceil(F.col(copies) * HOT_KEYS / F.lit(max(1, total))), F.col(copies)).cast("int").alias("_salts")
+    hot = F.broadcast(table.where((F.col(copies) * HOT_KEYS > total) & (F.col(copies) > 1)).select(*keys, salts))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    copied = table.join(hot, keys, "left").withColumn("_salt", each).drop("_salts", copies)
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
 def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], spread: list[Column], out: str) -> DataFrame:
     """df and a long column out: 0, 1, 2 ... within keys, without all rows of a key in one task.
 
@@ -154,10 +179,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         mark = now
         both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        large = join_hot(both, least, ["u"], "n", 2 * now[0], F.col("v")).where("v > u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, least, ["u"], "n", now[0], F.col("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stage(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         unstage(cur)
         cur = new
