@@ -12,10 +12,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm._common import stage
+from lattica.llm._common import join_hot, stage, unstage
+
+#: Tasks that the copies of one blob are dealt to where a ledger is carried on.
+SALTS = 8
 
 
 @dataclass(frozen=True)
@@ -44,23 +47,13 @@ MORE = (
 )
 
 
-def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, kind's order, end, kind) of a rule's matches, in code points, end exclusive."""
+def matches_of(text: Column, rule: Rule) -> Column:
+    """Array of a rule's (between, length, keep): code points between the match before and this one, and of the match.
+    The last is the text's end and has nulls for a match."""
     between = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x).cast("long"))
-    matches = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda x: F.length(x).cast("long"))
+    lengths = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda x: F.length(x).cast("long"))
     kept = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda x: F.length(x) >= rule.least)
-    rows = F.arrays_zip(between.alias("b"), matches.alias("m"), kept.alias("k"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,keep:boolean>>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        begin = acc["at"] + row["b"]
-        end = begin + F.coalesce(row["m"], F.lit(0).cast("long"))
-        found = F.struct(begin.alias("start"), F.lit(order).alias("kind"), end.alias("end"), F.coalesce(row["k"], F.lit(False)).alias("keep"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
-
-    found = F.filter(F.aggregate(rows, start, step)["out"], lambda x: x["keep"])
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,keep:boolean>>")
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+    return F.arrays_zip(between.alias("between"), lengths.alias("length"), kept.alias("keep"))
 
 
 @dataclass
@@ -71,9 +64,13 @@ class Ledger:
     findings: DataFrame | None = None
 
 
-def _pairs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def _unseen(blobs: DataFrame, rules: tuple[Rule, ...], ledger: Ledger) -> DataFrame:
+    """(blob, orders) of blobs with pairs that the ledger hasn't, and the numbers of those rules."""
     told = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(i).alias("order")) for i, r in enumerate(rules)))
-    return blobs.select("blob", "key", F.explode(told).alias("rule")).select("blob", "key", "rule.*")
+    pairs = blobs.select("blob", F.explode(told).alias("rule")).select("blob", "rule.*")
+    if ledger.scanned is not None:
+        pairs = pairs.join(ledger.scanned, ["blob", "kind", "version"], "left_anti")
+    return pairs.groupBy("blob").agg(F.collect_set("order").alias("orders"))
 
 
 def scan(
@@ -82,41 +79,58 @@ def scan(
 ) -> Ledger:
     """The ledger with docs' unseen pairs scanned; docs (path, text) has every historical version as a row.
 
-    A null text is the empty blob. Rows that repeat a path are versions of it. Only blobs with an unseen pair are read
-    again, by the path of one row that has them.
+    A null text is the empty blob. Rows that repeat a path are versions of it; of rows with equal texts, whatever their
+    paths, one is scanned. An empty table adds nothing. A text's matches are rows of their own while they are counted, so
+    a very long text with many takes time in proportion. Copies of one text meet map-side, and where the ledger has some
+    blobs already, only texts of others are shuffled for the scan. Other columns of docs are not read.
     """
     ledger = ledger or Ledger()
-    rows = docs.select(F.col(path_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("blob", F.sha2("text", 256))
-    blobs = rows.groupBy("blob").agg(F.min("key").alias("key"))
-    pairs = _pairs(blobs, rules)
-    if ledger.scanned is not None:
-        pairs = pairs.join(ledger.scanned, ["blob", "kind", "version"], "left_anti")
-    unseen = pairs.groupBy("key", "blob").agg(F.collect_set("order").alias("orders"))
-    unseen = unseen.select(F.col("key").alias("of"), F.col("blob").alias("of_blob"), "orders")
-    # A path's row has the blob that it was chosen for, or is another version of it.
-    todo = rows.drop("blob").join(unseen, F.col("key").eqNullSafe(F.col("of"))).where(F.sha2("text", 256) == F.col("of_blob"))
-    todo = todo.select(F.col("of_blob").alias("blob"), "orders", "text")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.sha2(text, 256).alias("blob"), text.alias("text"), F.xxhash64(F.col(path_col)).alias("salt"))
+    whole = F.array(*(F.lit(i) for i in range(len(rules))))
+    if ledger.scanned is None:
+        todo = rows.groupBy("blob").agg(F.max("text").alias("text")).withColumn("orders", whole)
+    else:
+        unseen = stage(_unseen(rows.select("blob").distinct(), rules, ledger), "unseen")
+        # Copies of one blob are dealt to SALTS tasks until they are one.
+        salted = unseen.select("blob", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        new = rows.withColumn("salt", F.pmod("salt", F.lit(SALTS)).cast("int")).join(salted, ["blob", "salt"], "left_semi")
+        todo = new.groupBy("blob").agg(F.max("text").alias("text")).join(unseen, "blob")
     each = []
     for i, r in enumerate(rules):
-        spans = F.when(F.array_contains("orders", i), spans_of(F.col("text"), r, i))
-        each.append(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans.alias("spans")))
-    found = todo.select("blob", F.explode(F.array(*each)).alias("f")).select("blob", "f.*").where("spans is not null")
-    found = stage(found.withColumn("spans", F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))), "findings")
-    scanned = found.select("blob", "kind", "version").distinct()
-    findings = found.where(F.size("spans") > 0).dropDuplicates(["blob", "kind", "version"])
+        matches = F.when(F.array_contains("orders", i) & F.col("text").rlike(r.pattern), matches_of(F.col("text"), r))
+        each.append(F.struct(F.lit(i).alias("order"), matches.alias("matches")))
+    todo = stage(todo.select("blob", "orders", F.filter(F.array(*each), lambda x: x["matches"].isNotNull()).alias("found")), "scans")
+    found = todo.select("blob", F.explode("found").alias("f")).select("blob", "f.order", F.posexplode("f.matches").alias("at", "match"))
+    found = found.select("blob", "order", "at", "match.*")
+    before = Window.partitionBy("blob", "order").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("between") + F.col("length")).over(before)
+    spans = found.withColumn("end", end).where("keep").groupBy("blob", "order")
+    spans = spans.agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("length")).alias("start"), "end"))).alias("spans"))
+    name, version = (F.get(F.lit([getattr(r, c) for r in rules]), F.col("order")).alias(c) for c in ("kind", "version"))
+    findings = spans.select("blob", name, version, "spans")
+    scanned = todo.select("blob", F.explode("orders").alias("order")).select("blob", name, version)
     if ledger.scanned is not None:
         scanned, findings = scanned.unionByName(ledger.scanned), findings.unionByName(ledger.findings)
-    return Ledger(stage(scanned, "scanned"), stage(findings, "findings"))
+    out = Ledger(stage(scanned, "scanned"), stage(findings, "findings"))
+    unstage(todo, *([unseen] if ledger.scanned is not None else []))
+    return out
 
 
 def findings_by_path(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = (*BASE, *MORE), path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(path, blob, spans) for each row of docs: spans (start, order, end, kind) by start, then the rules' order."""
+    """(path, blob, spans) for each row of docs: spans (start, order, end, kind) by start, then the rules' order, then end.
+
+    A null text is the empty blob, and has no spans, like a text that the ledger doesn't know. Rows that repeat a path are
+    told each.
+    """
     order = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (f"{r.kind}:{r.version}", i)))
     own = ledger.findings.withColumn("order", order[F.concat_ws(":", "kind", "version")]).where("order is not null")
     each = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), F.col("order"), x["end"].alias("end"), F.col("kind")))
     by_blob = own.select("blob", each.alias("s")).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("spans"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(path_col).alias(path_col), F.sha2(text, 256).alias("blob"))
+    rows = stage(docs.select(F.col(path_col).alias(path_col), F.sha2(text, 256).alias("blob")), "paths")
     none = F.array().cast(by_blob.schema["spans"].dataType)
-    return rows.join(by_blob, "blob", "left").select(path_col, "blob", F.coalesce("spans", none).alias("spans"))
+    copies = rows.groupBy("blob").agg(F.count(F.lit(1)).alias("copies"))
+    table = by_blob.join(copies, "blob")
+    told = join_hot(rows, table, ["blob"], "copies", rows.count(), F.col(path_col), "left")
+    return told.select(path_col, "blob", F.coalesce("spans", none).alias("spans"))
