@@ -6,7 +6,9 @@ largest sum to the smallest. Groups are dealt to buckets, each bucket is differe
 buckets' tuples are differenced the same way. As many equal groups as there are shards cancel at once, so a task keeps
 fewer groups of a size than there are shards.
 
-A group larger than a shard's fair share can't stay whole in a balanced partition; its rows are dealt to smaller units.
+A group larger than a shard's fair share can't stay whole in a partition whose shards are near equal. With split_huge the
+rows of such a group, and of no other, are dealt to smaller units, and the law "bytes" holds; without, every group stays
+whole, and the shards are as near as their largest group allows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._common import gapless_rank, stage, unstage
+from lattica.llm._common import gapless_rank, join_hot, stage, unstage
 
 #: Units of a group that is larger than a shard's share.
 UNITS = 4096
@@ -86,43 +88,46 @@ def split_sizes(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def balance(
     docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8,
-    buckets: int | None = None,
+    buckets: int | None = None, split_huge: bool = True,
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row of docs: shards' sums of size nearly equal.
 
-    size is the UTF-8 bytes of the text (null or empty: none) plus overhead. Rows of equal texts share a shard, unless
-    they are more than a shard's fair share of all bytes. slot runs from 0 without a gap in each shard. Rows that repeat
-    an id are placed each, by their texts. buckets bounds the groups of one task; the default grows with the table.
+    size is the UTF-8 bytes of the text (null or empty: none) plus overhead. Rows of equal texts share a shard; with
+    split_huge, unless they are more than a shard's fair share of all bytes. slot runs from 0 without a gap in each shard;
+    rows that are equal in all take any order. Rows that repeat an id, or have none, are placed each, by their texts. A very
+    long text is one row like others; an empty table has no rows. buckets bounds the groups of one task; the default grows
+    with the table. Other columns of docs are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + overhead).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("hash"),
+        F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"),
     )
     rows = stage(rows, "sizes")
     group = ["hash", "crc", "size"]
     groups = stage(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")), "groups")
-    total, n_groups = groups.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)), F.count(F.lit(1))).first()
+    told = groups.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    total, n_groups, n_rows = told
     # At most as many groups as shards are larger than a fair share of all bytes.
-    huge = groups.where(F.col("size") * F.col("n") * shards > total).select(*group).collect()
+    huge = groups.where(F.col("size") * F.col("n") * shards > total).select(*group).collect() if split_huge else []
     is_huge = F.lit(False)
     for r in huge:
         is_huge = is_huge | ((F.col("hash") == r.hash) & (F.col("crc") == r.crc) & (F.col("size") == r.size))
-    unit = F.when(is_huge, F.pmod(F.xxhash64("id"), F.lit(UNITS))).otherwise(F.lit(-1)).cast("int")
+    unit = F.when(is_huge, F.pmod(F.xxhash64("row"), F.lit(UNITS))).otherwise(F.lit(-1)).cast("int")
     units = rows.where(is_huge).withColumn("unit", unit).groupBy(*group, "unit").agg(F.count(F.lit(1)).alias("n"))
     units = groups.where(~is_huge).select(*group, F.lit(-1).alias("unit"), "n").unionByName(units)
     buckets = buckets or max(1, min(MOST_BUCKETS, -(-n_groups // TASK_GROUPS)))
     units = units.select(
-        *group, "unit", (F.col("size") * F.col("n")).alias("bytes"),
+        *group, "unit", "n", (F.col("size") * F.col("n")).alias("bytes"),
         F.pmod(F.xxhash64("hash", "size", "unit"), F.lit(buckets)).cast("int").alias("bucket"),
     )
 
     def dealt(key: tuple[int], own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["bytes", "hash", "crc", "unit"], ignore_index=True)
         own["part"], _ = split_sizes(own["bytes"].to_numpy(), shards)
-        return own[["hash", "crc", "size", "unit", "bytes", "bucket", "part"]]
+        return own[["hash", "crc", "size", "unit", "n", "bytes", "bucket", "part"]]
 
-    schema = "hash long, crc long, size long, unit int, bytes long, bucket int, part int"
+    schema = "hash long, crc long, size long, unit int, n long, bytes long, bucket int, part int"
     parts = stage(units.groupBy("bucket").applyInPandas(dealt, schema), "parts")
     # A row for each bucket and shard: at most MOST_BUCKETS buckets.
     sums = {(r.bucket, r.part): r.bytes for r in parts.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).collect()}
@@ -131,9 +136,10 @@ def balance(
     to = docs.sparkSession.createDataFrame(
         [(b, s, int(own[s])) for b, own in zip(names, final, strict=True) for s in range(shards)], "bucket int, part int, shard int"
     )
-    placed = parts.join(F.broadcast(to), ["bucket", "part"]).select(*group, "unit", "shard")
-    located = stage(rows.withColumn("unit", unit).join(placed, [*group, "unit"]).select("id", "size", "crc", "shard"), "located")
-    unstage(groups, rows)
-    order = [F.col("id"), F.col("crc"), F.col("size")]
-    out = gapless_rank(located, ["shard"], order, [F.col("id"), F.col("crc")], "slot")
+    placed = parts.join(F.broadcast(to), ["bucket", "part"]).select(*group, "unit", "n", "shard")
+    located = join_hot(rows.withColumn("unit", unit), placed, [*group, "unit"], "n", n_rows, F.col("row"))
+    located = stage(located.select("id", "size", "crc", "shard", "row"), "located")
+    unstage(groups, rows, parts)
+    order = [F.col("id"), F.col("crc"), F.col("size"), F.col("row")]
+    out = gapless_rank(located, ["shard"], order, [F.col("row")], "slot")
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
