@@ -20,14 +20,12 @@ from pyspark.sql import functions as F
 from lattica.llm._common import byte_slices, coded, split_words, stage, starts_of, unstage
 
 UNDETERMINED = "und"
-#: Longest piece and longest run of characters scored as one; a longer word is scored in such runs.
-PIECE_CHARS, WORD_CHARS = 8, 24
-#: Labelled rows a language is learned from, about; words with a count that are kept for a language; steps of EM.
-SAMPLE_ROWS, SAMPLE_WORDS, STEPS = 1500, 12_000, 4
-#: Runs of characters that learning looks at at once.
-LEARN_RUNS = 8192
+#: Bounds of learning alone: labelled rows a language is learned from, about; words with a count that are kept for a
+#: language, and their letters at most; steps of EM.
+SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_CHARS, STEPS = 1500, 12_000, 64, 4
+#: (word, language) pairs whose sums are held at once, and letters after which they are scaled anew.
+CELLS, SCALED = 32_768, 16
 _BASE = 0x100000001B3
-_POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(PIECE_CHARS)], np.uint64)
 
 
 def _letters(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -37,94 +35,116 @@ def _letters(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Pieces:
-    """The vocabulary: pieces of letters up to PIECE_CHARS long, by hash. Any other letter is the piece 0."""
+    """The vocabulary: all its pieces of letters, by hash. Any other letter is the piece 0.
+
+    hashes has the hashes of all ends of pieces, and numbers which piece each is (0: the end of one only), so the pieces
+    that end at a letter are found by going back from it as far as some piece goes on."""
 
     def __init__(self, vocabulary: list[str]):
-        own = sorted({p.replace("▁", "").lower() for p in vocabulary})
-        own = [p for p in own if p.isalpha() and len(p) <= PIECE_CHARS]
-        hashes = np.array([self._hash_of(p) for p in own], np.uint64)
-        self.hashes, first = np.unique(hashes, return_index=True)
-        self.size = len(first) + 1
+        own = sorted({x for p in vocabulary if (x := p.replace("▁", "").lower()).isalpha()})
+        self.longest = max(map(len, own), default=1)
+        self.size = len(own) + 1
+        self.powers = np.array([pow(_BASE, k, 1 << 64) for k in range(self.longest)], np.uint64)
+        found: dict[int, int] = {}
+        for number, piece in enumerate(own, 1):
+            h = 0
+            for power, c in zip(self.powers.tolist(), reversed(piece), strict=False):
+                h = (h + (ord(c) + 1) * power) & 0xFFFFFFFFFFFFFFFF
+                found.setdefault(h, 0)
+            found[h] = number
+        self.hashes = np.array(sorted(found), np.uint64)
+        self.numbers = np.array([found[h] for h in self.hashes.tolist()], np.int64)
+        self.own = own
+
+    def number(self, piece: str) -> int:
+        return self.own.index(piece) + 1
 
     @staticmethod
-    def _hash_of(piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * _BASE + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        return h
-
-    def cut(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of at most WORD_CHARS characters of the words: (runs, WORD_CHARS) code points with 0 after a run's
-        end, the runs' lengths and which word each is of."""
+    def letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words' order by falling length; in it, where each begins and its length; and all code points."""
         lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(-lengths, kind="stable")
         flat = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
-        runs = -(-lengths // WORD_CHARS)
-        of = np.repeat(np.arange(len(lengths)), runs)
-        begin = (np.arange(len(of)) - starts_of(runs)[of]) * WORD_CHARS
-        n = np.minimum(lengths[of] - begin, WORD_CHARS)
-        at = starts_of(lengths)[of] + begin
-        chars = np.zeros((len(of), WORD_CHARS), np.uint32)
-        row = np.repeat(np.arange(len(of)), n)
-        col = np.arange(len(row)) - np.repeat(starts_of(n), n)
-        chars[row, col] = flat[at[row] + col]
-        return chars, n, of
-
-    def found(self, chars: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(end, length, runs, pieces): which runs have a piece of that length that ends there; by rising end."""
-        longest = int(n.max()) if len(n) else 0
-        for end in range(1, longest + 1):
-            h = np.zeros(len(n), np.uint64)
-            alive = np.flatnonzero(n >= end)
-            h = h[alive]
-            for length in range(1, min(PIECE_CHARS, end) + 1):
-                h = h + (chars[alive, end - length].astype(np.uint64) + np.uint64(1)) * _POWERS[length - 1]
-                spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                ok = self.hashes[spot] == h
-                if length == 1:
-                    yield end, 1, alive, np.where(ok, spot + 1, 0)
-                elif ok.any():
-                    yield end, length, alive[ok], spot[ok] + 1
-
-    def forward(self, chars: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """(WORD_CHARS + 1, runs, languages) probabilities of each run's beginning of each length."""
-        alpha = np.zeros((WORD_CHARS + 1, len(n), p.shape[1]))
-        alpha[0] = 1
-        for end, length, runs, pieces in self.found(chars, n):
-            alpha[end, runs] += alpha[end - length, runs] * p[pieces]
-        return alpha
+        return order, starts_of(lengths)[order], lengths[order], flat
+
+    def ending(self, end: int, starts: np.ndarray, flat: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, words, pieces): which words have a piece of that length that ends after their letter end."""
+        words = np.arange(len(starts))
+        h = np.zeros(len(starts), np.uint64)
+        for length in range(1, min(self.longest, end) + 1):
+            letter = flat[starts[words] + end - length].astype(np.uint64)
+            h = h + (letter + np.uint64(1)) * self.powers[length - 1]
+            spot = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+            ok = self.hashes[spot] == h if len(self.hashes) else np.zeros(len(h), bool)
+            number = np.where(ok, self.numbers[spot], 0) if len(self.hashes) else np.zeros(len(h), np.int64)
+            hit = number > 0
+            if length == 1:
+                yield 1, words, number
+            elif hit.any():
+                yield length, words[hit], number[hit]
+            if not ok.any():
+                return
+            words, h = words[ok], h[ok]
 
     def log_scores(self, words: pa.Array, p: np.ndarray) -> np.ndarray:
-        """(words, languages) logarithms of the words' probabilities."""
-        chars, n, of = self.cut(words)
-        alpha = self.forward(chars, n, p)
-        logs = np.log(np.maximum(alpha[n, np.arange(len(n))], 1e-300))
-        out = np.zeros((len(words), p.shape[1]))
-        np.add.at(out, of, logs)
+        """(words, languages) logarithms of the words' probabilities, each the sum over all segmentations.
+
+        Only as many sums are held as the longest piece has letters, in a ring, and scaled as they fall, so a word may
+        have any length.
+        """
+        order, starts, n, flat = self.letters(words)
+        out = np.zeros((len(n), p.shape[1]))
+        rows = max(256, CELLS // max(1, p.shape[1]))
+        for begin in range(0, len(n), rows):
+            part = slice(begin, begin + rows)
+            out[order[part]] = self._forward(starts[part], n[part], flat, p)
+        return out
+
+    def _forward(self, starts: np.ndarray, n: np.ndarray, flat: np.ndarray, p: np.ndarray) -> np.ndarray:
+        held = self.longest + 1
+        ring = np.zeros((held, len(n), p.shape[1]))
+        ring[0] = 1
+        scale, out = np.zeros((2, len(n), p.shape[1]))
+        for end in range(1, int(n[0]) + 1):
+            here, after = np.searchsorted(-n, [-end, -end - 1], side="right")
+            sums = np.zeros((here, p.shape[1]))
+            for length, words, pieces in self.ending(end, starts[:here], flat):
+                sums[words] += ring[(end - length) % held, words] * p[pieces]
+            ring[end % held, :here] = sums
+            out[after:here] = np.log(np.maximum(sums[after:], 1e-300)) + scale[after:here]
+            if end % SCALED == 0 and after:
+                top = ring[:, :after].max(axis=0)
+                top[top == 0] = 1
+                ring[:, :after] /= top
+                scale[:after] += np.log(top)
         return out
 
     def learn(self, words: list[str], counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
         """(pieces, languages) probabilities from (words, languages) counts: EM over all segmentations."""
-        chars, n, of = self.cut(pa.array(words, pa.string()))
+        order, starts, n, flat = self.letters(pa.array(words, pa.string()))
         parts = []
-        for begin in range(0, len(n), LEARN_RUNS):
-            own = slice(begin, begin + LEARN_RUNS)
-            found = [(e, k, r.astype(np.int32), x.astype(np.int32)) for e, k, r, x in self.found(chars[own], n[own])]
-            parts.append((n[own], counts[of[own]].astype(float), found))
+        rows = max(256, CELLS // max(1, counts.shape[1]))
+        for begin in range(0, len(n), rows):
+            own, found = slice(begin, begin + rows), []
+            for end in range(1, int(n[begin]) + 1):
+                here = int(np.searchsorted(-n[own], -end, side="right"))
+                found += [(end, *x) for x in self.ending(end, starts[own][:here], flat)]
+            parts.append((n[own], counts[order[own]].astype(float), found))
         p = np.full((self.size, counts.shape[1]), 1.0 / self.size)
         for _ in range(steps):
             hits = np.zeros_like(p)
             for ends, weight, found in parts:
-                rows = np.arange(len(ends))
-                alpha = np.zeros((WORD_CHARS + 1, len(ends), counts.shape[1]))
+                each = np.arange(len(ends))
+                alpha = np.zeros((int(ends[0]) + 1, len(ends), counts.shape[1]))
                 alpha[0] = 1
-                for end, length, runs, pieces in found:
-                    alpha[end, runs] += alpha[end - length, runs] * p[pieces]
+                for end, length, rows, pieces in found:
+                    alpha[end, rows] += alpha[end - length, rows] * p[pieces]
                 beta = np.zeros_like(alpha)
-                beta[ends, rows] = weight / np.maximum(alpha[ends, rows], 1e-300)
-                for end, length, runs, pieces in reversed(found):
-                    share = beta[end, runs] * p[pieces]
-                    np.add.at(hits, pieces, alpha[end - length, runs] * share)
-                    beta[end - length, runs] += share
+                beta[ends, each] = weight / np.maximum(alpha[ends, each], 1e-300)
+                for end, length, rows, pieces in reversed(found):
+                    share = beta[end, rows] * p[pieces]
+                    np.add.at(hits, pieces, alpha[end - length, rows] * share)
+                    beta[end - length, rows] += share
             p = (hits + 0.01) / (hits + 0.01).sum(axis=0)
         return p
 
@@ -182,7 +202,8 @@ def train(
     """Learn from the labelled rows (all, if not given) with a language and a text.
 
     Of each language about sample_rows rows are learned from, by a hash of their id, whatever the table's size; of
-    their words, the sample_words most frequent (ties: in order). These bounds are of the training alone.
+    their words of at most SAMPLE_CHARS letters, the sample_words most frequent (ties: in order). These bounds are of the
+    training alone. A table without such rows makes a model without languages.
     """
     own = docs.where(labelled if labelled is not None else F.lit(True))
     own = own.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -199,7 +220,7 @@ def train(
     languages = sorted(sizes)
     totals: dict[str, np.ndarray] = {}
     for k, lang in enumerate(languages):
-        top = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(sample_words)
+        top = counted.where((F.col("lang") == lang) & (F.length("word") <= SAMPLE_CHARS)).orderBy(F.desc("n"), "word").limit(sample_words)
         for r in top.select("word", "n").collect():
             totals.setdefault(r.word, np.zeros(len(languages), np.int64))[k] = r.n
     unstage(counted)
@@ -213,8 +234,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """(doc_id, lang_pred, score) for each row: score is the language's share of the probability, 0 to 1. With keep, all
     columns of docs and these two, which replace columns of the same names.
 
-    A null or empty text, or one without a letter, is "und" with score 0, and so is every text if the model has no
-    language. Ties go to the language first in order. Other columns are not read.
+    A word is a run of letters of any length; all its segmentations into the vocabulary's pieces, of any length, and
+    single letters are summed. A very long text is judged whole by one task. A null or empty text, or one without a letter,
+    is "und" with score 0, and so is every text if the model has no language. Ties go to the language first in order.
+    Rows that repeat an id are judged each; an empty table has no rows. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

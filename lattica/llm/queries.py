@@ -58,6 +58,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(id_col: str = "doc_id"):
+    """Null for a null id: such rows are neither learned from nor held out."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1
 
 
@@ -66,7 +67,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str, path: str | None = None) -
     pieces = language_id.vocabulary(path or tokenizer_path("piece_bpe_32k.model"))
     model = language_id.train(docs, pieces, ~held_out())
     told = language_id.identify(docs, model)
-    return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return told.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
