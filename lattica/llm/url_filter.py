@@ -6,7 +6,8 @@ direction: who links to a blocked host is distrusted (Gyöngyi et al. 2004; Kris
 if a block rule decides on half of its pages or more, and a trusted one if an allow rule decides on a page of it and it
 isn't a blocked seed. A host that is linked but has no page in the table is judged so by the different addresses that
 links to it name, an empty path being /.
-A host is blocked if its distrust is over its trust and over a threshold times the mean host's share.
+A host is blocked if its distrust is over its trust and over a threshold times the mean host's share. Pages and links name
+a host alike: user and port are no part of it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._common import stage, unstage
+from lattica.llm._common import join_hot, stage, unstage
 
 #: TOLERANCE: error of all scores together that is left, as a part of the score over which a host is judged. FINEST: the
 #: least error that sums of doubles can tell.
@@ -50,6 +51,11 @@ def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def bare_host(host: Column) -> Column:
+    """A host's name in the graph: without user and port, in lower case."""
+    return _lower(F.regexp_replace(F.regexp_replace(host, r"^[^@]*@", ""), r":\d*$", ""))
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Both empty for a null url or one without ://."""
     at = F.locate("://", url)
@@ -71,14 +77,14 @@ def fitting_rule(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Colu
 
 
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst, path, weight) of links between different hosts, by the path that they name."""
+    """(src, dst, path, weight) of links between different hosts, by the path that they name. A page without a host or
+    without html, null or empty, has none; a very long html is searched whole."""
     host, _ = host_and_path(F.col(url_col).cast("string"))
     links = F.regexp_extract_all(F.coalesce(F.col(html_col).cast("string"), F.lit("")), F.lit(_LINK), F.lit(1))
-    bare = lambda h: _lower(F.regexp_replace(F.regexp_replace(h, r"^[^@]*@", ""), r":\d*$", ""))
     to = F.substring_index("link", "/", 1)
     path = F.substring(F.col("link"), F.length(to) + 1, F.length("link"))
-    found = pages.select(host.alias("src"), F.explode(links).alias("link"))
-    found = found.select("src", bare(to).alias("dst"), F.when(path == "", "/").otherwise(path).alias("path"))
+    found = pages.select(bare_host(host).alias("src"), F.explode(links).alias("link"))
+    found = found.select("src", bare_host(to).alias("dst"), F.when(path == "", "/").otherwise(path).alias("path"))
     found = found.where("src <> '' and dst <> '' and src <> dst")
     return found.groupBy("src", "dst", "path").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
@@ -109,6 +115,7 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
         unstage(scores)
         scores = new
         if change * damping < max(tolerance, FINEST) * (1 - damping):
+            unstage(steps)
             return scores
 
 
@@ -120,34 +127,39 @@ def judge_urls(
 
     A page that a rule fits has the rule's verdict; any other is blocked if its host's distrust is over its trust and at
     least threshold times 1 / hosts (linked ones too), and allowed if not. A null url, or one without ://, has an empty host, which no rule
-    fits and no link reaches. Rows that repeat an id are judged each. trust and distrust are 0 for unreached hosts.
+    fits and no link reaches. Rows that repeat an id are judged each. trust and distrust are 0 for unreached hosts; where
+    they are equal, the page is allowed. An empty table has no rows. Other columns of pages are not read.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
-    slim = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    slim = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), bare_host(host).alias("node"))
     slim = slim.withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
     allows = F.col("fits").isin([i for i, r in enumerate(rules) if r.verdict == "allow"])
     blocks = F.col("fits").isin([i for i, r in enumerate(rules) if r.verdict == "block"])
     counts = F.count_if(allows).alias("allowed"), F.count_if(blocks).alias("blocked"), F.count(F.lit(1)).alias("n")
-    crawled = slim.where("host <> ''").groupBy("host").agg(*counts)
+    crawled = slim.where("node <> ''").groupBy(F.col("node").alias("host")).agg(*counts).withColumn("pages", F.col("n"))
     links = stage(host_links(pages, url_col, html_col), "links")
     named = links.select(F.col("dst").alias("host"), "path").distinct().withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
-    hosts = crawled.unionByName(named.groupBy("host").agg(*counts).join(crawled.select("host"), "host", "left_anti"))
+    named = named.groupBy("host").agg(*counts).withColumn("pages", F.lit(0).cast("long"))
+    hosts = crawled.unionByName(named.join(crawled.select("host"), "host", "left_anti"))
     blocked = F.when(2 * F.col("blocked") >= F.col("n"), F.col("blocked")).otherwise(0)
     allowed = F.when(2 * F.col("blocked") < F.col("n"), F.col("allowed")).otherwise(0)
-    hosts = stage(hosts.select("host", allowed.alias("allowed"), blocked.alias("blocked")), "hosts")
-    n_hosts, allowed, blocked = hosts.agg(F.count(F.lit(1)), F.coalesce(F.sum("allowed"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+    hosts = stage(hosts.select("host", "pages", allowed.alias("allowed"), blocked.alias("blocked")), "hosts")
+    n_hosts, n_pages, allowed, blocked = hosts.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("pages", "allowed", "blocked"))).first()
     edges = stage(host_edges(links), "edges")
     unstage(links)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    scores = hosts.select("host")
+    scores, ranks = hosts.select("host", "pages"), []
     for name, seeded, n, links in (("trust", "allowed", allowed, edges), ("distrust", "blocked", blocked, back)):
         seeds = hosts.where(F.col(seeded) > 0).select("host", (F.col(seeded) / F.lit(max(1, n))).alias("share"))
-        rank = page_rank(links, seeds, damping, TOLERANCE * threshold / max(1, n_hosts)).select("host", F.col("score").alias(name))
+        rank = page_rank(links, seeds, damping, TOLERANCE * threshold / max(1, n_hosts))
+        ranks.append(rank)
+        rank = rank.select("host", F.col("score").alias(name))
         scores = scores.join(rank, "host", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    scores = stage(scores, "hosts")
+    scores = stage(scores.withColumnRenamed("host", "node"), "ranked")
+    unstage(hosts, edges, *ranks)
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * max(1, n_hosts) >= threshold)
     names, verdicts = (F.lit([getattr(r, c) for r in rules]) for c in ("told", "verdict"))
-    out = slim.join(scores, "host", "left")
+    out = join_hot(slim, scores, ["node"], "pages", n_pages, F.xxhash64("id", "path"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     return out.select(
         F.col("id").alias(id_col), "host", "path", F.get(names, F.col("fits")).alias("rule"),
