@@ -224,7 +224,12 @@ def benchmark_hits(
     Words are runs of non-ASCII characters, ASCII letters and digits, with A-Z lower-cased. spans has the hit words as
     begin, end, begin, end ..., by word number, end exclusive; items the distinct ids, as strings in order, of items of
     which a window occurs. A null or empty text has no words and no hits; neither has an item without words. Items that
-    repeat an id count as one; an item with a null id is the item "". Rows that repeat a doc_id are judged each.
+    repeat an id count as one; an item with a null id is the item "". Rows that repeat a doc_id are judged each. An empty
+    table of documents gives no rows, one of items no hits. A very long text is judged whole by one task.
+
+    The driver collects the items of one slice at a time, slice_words characters or one longer item, and the counts of
+    their shingles; for each slice the documents are read once to count and once to look. Time grows so with slices
+    times documents: right for benchmarks, which are small, and not for joining two corpora.
     """
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._common import byte_slices, shuffle_partitions
+from lattica.llm._common import byte_slices, join_hot
 
 #: The magic numbers of a Zstandard frame and of the skippable frame that holds an archive's dictionary.
 FRAME, DICTIONARY_FRAME = 0xFD2FB528, 0x184D2A5D
@@ -157,12 +157,15 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Of rows with equal payloads of at least shortest bytes, that with the largest id is a response, and others revisit
     it. Rows that repeat that id are responses all. A null id is smaller than others; if all are null, all are responses.
+    A null html is an empty payload. The rows of a payload that many have are dealt to several tasks. A very long payload
+    is one record as others; an empty table has no rows. Other columns of pages are not read.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
     copies = rows.where(F.col("size") >= shortest).groupBy("sha1", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(copies.where("n > 1").drop("n"), ["sha1", "size"], "left")
+    spread = F.xxhash64("page_id", "url")
+    rows = join_hot(rows, copies.where("n > 1"), ["sha1", "size"], "n", pages.count(), spread, "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select(
         "page_id", "url", "payload", "size", "sha1", F.when(again, "revisit").otherwise("response").alias("kind"),
@@ -195,7 +198,8 @@ def _writing(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def write_archives(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(path, content) archives of rows as with_revisits gives them."""
+    """(path, content) archives of rows as with_revisits gives them, each closed when it has archive_bytes; a partition
+    without rows makes none."""
     return rows.mapInArrow(_writing(archive_bytes), "path string, content binary")
 
 
