@@ -17,6 +17,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from lattica.llm._common import byte_slices, coded, gapless_rank, split_words, s
 CAPACITY = 2048
 #: Steps of the search: sequences begun and fillings looked at.
 STEPS = 40_000
+#: Sequences whose options are kept while the search is deeper; those of others are made again when it comes back.
+HELD = 64
 
 #: A plan: (lengths with how often each, how many sequences are filled so).
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -148,6 +151,17 @@ class Packing:
     proved: bool
 
 
+@dataclass
+class _Step:
+    """A sequence begun: sequences and waste so far, what was filled last, the options not yet seen and how many are."""
+
+    used: int
+    waste: int
+    entry: tuple[tuple[tuple[int, int], ...], int] | None
+    options: Iterator | None = None
+    seen: int = 0
+
+
 def search(counts: dict[int, int], capacity: int, steps: int = STEPS) -> Packing:
     """The best packing of counts[length] pieces of each length that bin completion finds, from the best-fit incumbent."""
     counts = {k: v for k, v in counts.items() if v > 0}
@@ -174,35 +188,40 @@ def search(counts: dict[int, int], capacity: int, steps: int = STEPS) -> Packing
             for times in range(min(left[x] // k for x, k in filling), 0, -1):
                 yield filling, times, times * found[1]
 
-    path: list[tuple[dict[int, int], int, int, Iterator]] = []
-    plan: Plan = []
-    if best_n > bound:
-        path.append((counts, 0, 0, branches(counts, 0)))
-    taken = 0
+    path = [_Step(0, 0, None)] if best_n > bound else []
+    left, taken = dict(counts), 0
     while path and taken < steps:
         taken += 1
-        left, used, waste, options = path[-1]
-        option = next(options, False)
+        at = path[-1]
+        if at.options is None:
+            at.options = islice(branches(dict(left), at.waste), at.seen, None)
+        option = next(at.options, False)
+        at.seen += 1
         if option is False:
             path.pop()
-            del plan[-1:]
+            if at.entry:
+                filling, times = at.entry
+                for x, k in filling:
+                    left[x] = left.get(x, 0) + times * k
             continue
         if option is None:
             continue
         filling, times, more = option
-        if waste + more > (best_n - 1) * capacity - total:
+        if at.waste + more > (best_n - 1) * capacity - total:
             continue
-        after = dict(left)
         for x, k in filling:
-            after[x] -= times * k
-        after = {x: n for x, n in after.items() if n}
-        if after:
-            plan.append((filling, times))
-            path.append((after, used + times, waste + more, branches(after, waste + more)))
-        elif used + times < best_n:
-            best, best_n = [*plan, (filling, times)], used + times
-            if best_n <= bound:
-                break
+            left[x] -= times * k
+            if not left[x]:
+                del left[x]
+        path.append(_Step(at.used + times, at.waste + more, (filling, times)))
+        if len(path) > HELD:
+            path[-HELD - 1].options = None
+        if not left:
+            if path[-1].used < best_n:
+                best, best_n = [p.entry for p in path if p.entry], path[-1].used
+                if best_n <= bound:
+                    break
+            path[-1].options = iter(())
     return Packing(best, best_n, bound, best_n <= bound or not path)
 
 
