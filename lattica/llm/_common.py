@@ -187,6 +187,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         new = stage(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         unstage(cur)
         cur = new
-    return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
+    out = cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
         cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+    out._staged_path = cur._staged_path
+    return out

@@ -4,11 +4,17 @@ Each text becomes its set of word shingles. MinHash samples of the set give band
 a parity bitmap give an odd sketch (Mitzenmacher, Pagh, Pham 2014): the population count of two sketches' XOR estimates
 their similarity. Texts that share a band and whose sketches allow the threshold make up a group; within a group the
 links are confirmed on full sets.
+
+Rows of a large band or group are dealt to blocks, each of which meets the least id of all first. Rows that are linked
+to that one, there or by way of other bands, need no other. The rest, and what may be linked to it, is dealt anew by the bands of further permutations, as
+LSH forests do (Bawa, Condie, Ganesan 2005): rows at the threshold share one of them as surely as before, others seldom.
+What is still in too large a band after LEVELS times meets all blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +28,13 @@ from lattica.llm._common import (
     coded,
     connected_components,
     group_chunks,
+    join_hot,
     mapped_bytes,
     shuffle_partitions,
     split_words,
     stage,
     starts_of,
+    unstage,
 )
 
 WIDTH = 5
@@ -36,10 +44,10 @@ SKETCH_BITS = 512
 #: Largest XOR count that goes on to the full sets: what sets of similarity 0.5 show on average, over five standard
 #: deviations below the threshold of 0.75.
 SKETCH_MOST = int(SKETCH_BITS / 2 * (1 - np.exp(-2 * SAMPLES * (1 - 0.5) * 2 / SKETCH_BITS)))
-#: Rows of a band, or shingles of a group, that one task compares at once.
-BLOCK_ROWS, BLOCK_SHINGLES = 8192, 4_000_000
-#: A set is broadcast if its copies are more than one in so many of all rows; so there are always fewer than so many.
-HOT_SETS = 1000
+#: Rows of a band, whose sketches one task compares at once, and shingles of a group, whose sets it does.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 4_000_000
+#: Times that a large band's rows are dealt anew by further bands.
+LEVELS = 3
 
 _random = np.random.default_rng(0x5EED)
 _ODD64 = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,9 +92,12 @@ def shingle_hashes(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.
     return h[new], np.bincount(text[new], minlength=len(counts)).astype(np.int64)
 
 
-def minhash(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(texts with shingles, SAMPLES) least values under as many permutations of the hashes' upper halves."""
+def minhash(h: np.ndarray, counts: np.ndarray, level: int = 0) -> np.ndarray:
+    """(texts with shingles, SAMPLES) least values under as many permutations of the hashes' upper halves; each level has
+    permutations of its own."""
     begin = starts_of(counts)[counts > 0]
+    if level:
+        h = _mix(h * _ODD64[50] + np.uint64(level))
     upper = (h >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(begin), SAMPLES), np.uint32)
     for j in range(SAMPLES):
@@ -149,6 +160,21 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _banded(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, bands) of texts with shingles, by the permutations of a level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                h, counts = shingle_hashes(part.column("text"))
+                bands = band_keys(minhash(h, counts, level))
+                ids = part.column("id").filter(pa.array(counts > 0))
+                offsets = pa.array(np.arange(len(ids) + 1) * BANDS, pa.int32())
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))], ["id", "bands"])
+
+    return run
+
+
 class _BySketch:
     """Which rows of a chunk may reach the threshold, as their sizes and sketches go."""
 
@@ -251,44 +277,87 @@ def _searched(judge: type[_BySketch], percent: int) -> Callable[[Iterator[pa.Rec
     return run
 
 
-def _linked(members: DataFrame, payload: DataFrame, judge: type[_BySketch], percent: int, limit: int) -> DataFrame:
-    """Edges (a, b) within each key of members (key, id, weight) so that their components are those of all links.
+@dataclass
+class _Links:
+    """Finds the links within each key of members (key, id, weight, open): payload (id, ...) has what judge reads, texts
+    (id, text) what further bands are made from, first the bands of level 1 if there are some already. limit is the weight
+    that one task compares at once. staged gets the tables that nothing reads once the links are used."""
 
-    A key whose weights exceed limit is dealt out to blocks, each with the key's least id. What that id's component
-    doesn't hold meets all the key's other blocks in a second pass. payload (id, ...) has what judge reads.
-    """
-    totals = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("weight"), F.min("id").alias("hub")
-    )
-    totals = totals.where("rows > 1").select("key", "hub", "rows", F.ceil(F.col("weight") / limit).alias("blocks"))
-    block = F.pmod(F.xxhash64("id", "key"), F.col("blocks"))
-    placed = stage(members.join(totals, "key").select("key", "id", "hub", "blocks", block.alias("block")), "members")
-    schema = "key long, a long, b long"
-    columns = ["key", "block", "id", "hub", "blocks", *judge.columns]
-
-    def search(rows: DataFrame) -> DataFrame:
-        rows = rows.join(payload, "id").select(*columns)
+    payload: DataFrame
+    texts: DataFrame
+    judge: type[_BySketch]
+    percent: int
+    limit: int
+    first: DataFrame | None
+    staged: list[DataFrame]
+
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.staged.append(stage(df, name))
+        return self.staged[-1]
+
+    def _search(self, rows: DataFrame) -> DataFrame:
+        rows = rows.join(self.payload, "id").select("key", "block", "id", "hub", "blocks", *self.judge.columns)
         rows = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "block")
-        return rows.sortWithinPartitions("key", "block", "id").mapInArrow(_searched(judge, percent), schema)
-
-    everywhere = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = placed.withColumn("block", F.explode(F.coalesce(everywhere, F.array("block"))))
-    found = stage(search(dealt), "links")
-    edges = found.where("b is not null").select("a", "b")
-    rest = found.where("b is null").select("key", F.col("a").alias("id")).distinct()
-    if not rest.isEmpty():
-        parts = F.ceil(F.col("left") * F.col("blocks") / F.col("rows"))
+        rows = rows.sortWithinPartitions("key", "block", "id")
+        return rows.mapInArrow(_searched(self.judge, self.percent), "key long, a long, b long")
+
+    def edges(self, members: DataFrame, level: int = 0, known: DataFrame | None = None) -> DataFrame:
+        """(a, b) within each key so that their components are those of all links with an open row, one in open.
+
+        A key of more weight than limit is dealt out to blocks, each with the key's least id. What that id's component
+        doesn't hold, over the links of all keys and of known, is open on the next level, where all the key's rows are dealt
+        to keys by further bands; after LEVELS, it meets all the key's other blocks.
+        """
+        # The rows that aren't open are in one component already, so the least of them stands for all.
+        hub = F.min(F.struct("open", "id"))["id"].alias("hub")
+        totals = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("sum"), hub, F.max("open").alias("any"))
+        blocks = F.ceil(F.col("sum") / self.limit).alias("blocks")
+        totals = totals.where("rows > 1 and any").select("key", "hub", "rows", F.col("rows").alias("copies"), blocks)
+        block = F.pmod(F.xxhash64("id", "key"), F.col("blocks"))
+        placed = join_hot(members, totals, ["key"], "copies", members.count(), F.col("id"))
+        placed = self._stage(placed.select("key", "id", "weight", "hub", "rows", "blocks", block.alias("block")), "placed")
+        everywhere = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        found = self._stage(self._search(placed.withColumn("block", F.explode(F.coalesce(everywhere, F.array("block"))))), "links")
+        edges = found.where("b is not null").select("a", "b")
+        rest = found.where("b is null").select("key", F.col("a").alias("id")).distinct()
+        if rest.isEmpty():
+            return edges
+        known = edges if known is None else known.unionAll(edges)
+        parts = connected_components(known)
+        self.staged.append(parts)
+        of = lambda id_, name: parts.select(F.col("id").alias(id_), F.col("component").alias(name))
+        rest = rest.join(placed.where("id = hub").select("key", "hub").distinct(), "key")
+        rest = rest.join(of("id", "own"), "id", "left").join(of("hub", "first"), "hub", "left")
+        rest = self._stage(rest.where(F.coalesce("own", "id") != F.coalesce("first", "hub")).select("key", "id"), "rest")
+        if rest.isEmpty():
+            return edges
+        again = self._anew(placed, rest, level + 1, known) if level < LEVELS else self._everywhere(placed, rest)
+        return edges.unionAll(again)
+
+    def _anew(self, placed: DataFrame, rest: DataFrame, level: int, known: DataFrame) -> DataFrame:
+        """Links of rest with its keys' rows, by the bands of a level."""
+        own = placed.join(rest.select("key").distinct(), "key", "left_semi").select("key", "id", "weight")
+        own = self._stage(own.join(rest.withColumn("open", F.lit(True)), ["key", "id"], "left"), "members")
+        bands = self.first
+        if bands is None or level > 1:
+            bands = self.texts.join(own.select("id").distinct(), "id", "left_semi").mapInArrow(_banded(level), "id long, bands array<long>")
+        each = own.join(bands, "id").select("key", "id", "weight", "open", F.explode("bands").alias("band"))
+        each = each.select(F.xxhash64("key", "band").alias("key"), "id", "weight", F.coalesce("open", F.lit(False)).alias("open"))
+        return self.edges(self._stage(each, "members"), level, known)
+
+    def _everywhere(self, placed: DataFrame, rest: DataFrame) -> DataFrame:
+        """Links of rest with its keys' rows: parts of rest meet all blocks."""
         sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("left"))
-        sizes = sizes.join(totals, "key").select("key", "hub", "blocks", parts.alias("parts"))
+        parts = F.ceil(F.col("left") * F.col("blocks") / F.col("rows")).alias("parts")
+        sizes = sizes.join(placed.select("key", "hub", "rows", "blocks").distinct(), "key").select("key", "hub", "blocks", parts)
         each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         part = F.pmod(F.xxhash64("key", "id"), F.col("parts")).alias("part")
         own = rest.join(sizes, "key").select("key", "id", "hub", "blocks", "parts", part, each("blocks").alias("other"))
         against = placed.select("key", "id", F.col("block").alias("other")).join(sizes, "key")
         against = against.select("key", "id", "hub", "blocks", "parts", each("parts").alias("part"), "other")
         pairs = own.unionByName(against).withColumn("block", F.col("other") * F.col("parts") + F.col("part"))
-        again = search(pairs.select("key", "id", "hub", "blocks", "block").distinct())
-        edges = edges.unionAll(again.where("b is not null").select("a", "b"))
-    return edges
+        again = self._search(pairs.select("key", "id", "hub", "blocks", "block").distinct())
+        return again.where("b is not null").select("a", "b")
 
 
 def near_duplicates(
@@ -302,35 +371,39 @@ def near_duplicates(
     other in all 32 bands of 4 samples with a probability of 5e-6; a found pair is always confirmed on full sets.
 
     A null, empty or wordless text has no shingles and is linked with nothing. Rows with equal sets are one class, so
-    copies are compared once. Rows that repeat an id are given each; a null id never stands for a class that has other
-    ids (alone, its component_id is null and kept is true). Other columns of docs are not read.
+    copies are compared once. Rows that repeat an id are given each, and are one document in the links: texts that share
+    an id are in one component. A null id never stands for a class that has other ids (alone, its component_id is null
+    and kept is true). A very long text's set is held whole by one task. An empty table has no rows. Other columns of docs
+    are not read.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stage(
         slim.mapInArrow(_signed, "id long, n long, d1 long, d2 long, bands array<long>, sketch binary"), "signatures"
     )
-    keys = ["d1", "d2", "n"]
+    keys, staged = ["d1", "d2", "n"], []
     sets = signed.where("n > 0").groupBy(*keys).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"))
     classes = stage(sets, "sets")
-    leads = signed.where("n > 0").join(classes.where("class is not null").drop("copies"), keys).where("id = class")
+    # Copies of a set have ids of their own, so they meet their class in many tasks.
+    firsts = classes.where("class is not null").select(*keys, F.col("class").alias("id"))
+    leads = signed.where("n > 0").join(firsts, [*keys, "id"])
     leads = stage(leads.dropDuplicates(["id", "d1", "d2"]).select("id", "n", "bands", "sketch"), "classes")
-    members = leads.select(F.explode("bands").alias("key"), "id", F.lit(1).alias("weight"))
-    payload = leads.select("id", "n", "sketch")
-    maybe = connected_components(_linked(members, payload, _BySketch, percent, block_rows))
-    groups = stage(maybe, "groups").withColumnRenamed("component", "key")
-    members = groups.join(leads.select("id", F.col("n").alias("weight")), "id").select("key", "id", "weight")
-    texts = slim.where("id is not null").join(groups.select("id"), "id", "left_semi")
-    links = _linked(members, payload.join(texts, "id"), _BySet, percent, block_shingles)
-    components = connected_components(links).withColumnRenamed("id", "class")
-    told = classes.join(components, "class", "left").select(*keys, "copies", F.coalesce("component", "class").alias("component"))
+    members = leads.select(F.explode("bands").alias("key"), "id", F.lit(1).cast("long").alias("weight"), F.lit(True).alias("open"))
+    payload, texts = leads.select("id", "n", "sketch"), slim.where("id is not null")
+    maybe = _Links(payload, texts, _BySketch, percent, block_rows, None, staged).edges(members)
+    maybe = connected_components(maybe)
+    staged += [maybe, found := stage(maybe, "groups")]
+    groups = found.withColumnRenamed("component", "key")
+    members = groups.join(leads.select("id", F.col("n").alias("weight")), "id").select("key", "id", "weight", F.lit(True).alias("open"))
+    texts = texts.join(groups.select("id"), "id", "left_semi")
+    links = _Links(payload.join(texts, "id"), texts, _BySet, percent, block_shingles, leads.select("id", "bands"), staged).edges(members)
+    components = connected_components(links)
+    staged.append(components)
+    told = classes.join(components.withColumnRenamed("id", "class"), "class", "left").select(*keys, "copies", F.coalesce("component", "class").alias("component"))
     told = stage(told, "components")
-    # Sets with so many copies that there can be no more than HOT_SETS of them go to the rows, not the rows to them.
-    hot = F.col("copies") * HOT_SETS > signed.count()
-    rows, few = signed.select("id", *keys).where("n > 0"), F.broadcast(told.where(hot).drop("copies"))
-    out = signed.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    out = out.unionByName(rows.join(few, keys).select("id", "n", "component"))
-    rest = rows.join(few, keys, "left_anti").join(told.where(~hot), keys)
-    out = out.unionByName(rest.select("id", "n", "component"))
+    unstage(classes, leads, *staged)
+    rows = signed.select("id", *keys).where("n > 0")
+    out = join_hot(rows, told, keys, "copies", signed.count(), F.col("id")).select("id", "n", "component")
+    out = out.unionByName(signed.where("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
         F.col("id").eqNullSafe(F.col("component")).alias("kept"),
