@@ -189,6 +189,14 @@ def test_op6_cases(spark, slice_words):
     assert {tuple(r) for r in contamination(got).collect()} == brute_hits(docs, items)
 
 
+def test_op6_without_items(spark):
+    from lattica.llm.decontaminate import benchmark_hits, contamination
+
+    docs = spark.createDataFrame([(1, "some words here"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert {tuple(r) for r in contamination(benchmark_hits(docs, items)).collect()} == brute_hits([(1, "some words here"), (2, None)], [])
+
+
 def test_op7(spark, sf_dir):
     docs = {d.doc_id: d for d in rows_of(spark, sf_dir.replace("0.001", "0.01"), "documents")}
     got = Q.op7_language_id(spark, sf_dir.replace("0.001", "0.01")).collect()

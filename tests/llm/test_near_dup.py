@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from lattica.llm import near_dup
 from lattica.llm.near_dup import near_duplicates, odd_sketch, shingle_hashes, sketch_similarity, minhash
 
 
@@ -52,6 +53,28 @@ def test_matches_brute_force(spark, block):
     assert {tuple(r) for r in got.collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("levels", [0, 3])
+def test_a_large_band_of_unlike_rows(spark, monkeypatch, levels):
+    """Texts that share most of their shingles, but not three quarters, and clusters among them: bands with hundreds of
+    rows of which few are linked to the least one; found by further bands, or by all blocks."""
+    monkeypatch.setattr(near_dup, "LEVELS", levels)
+    rnd = random.Random(9)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for family in range(40):
+        own = [f"f{family}x{k}" for k in range(35)]
+        for copy in range(rnd.randint(1, 4)):
+            words = common + own + [f"v{len(rows)}"] * (copy > 0)
+            rows.append((len(rows) * 31 % 1009, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    anew = near_dup._Links._anew
+    monkeypatch.setattr(near_dup._Links, "_anew", lambda self, *a: found.append(a) or anew(self, *a))
+    got = near_duplicates(docs, block_rows=16)
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+    assert bool(found) == bool(levels)
+
+
 def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(
         [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "other words here")], "doc_id long, text string"
