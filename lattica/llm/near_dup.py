@@ -290,6 +290,16 @@ class _Links:
     limit: int
     first: DataFrame | None
     staged: list[DataFrame]
+    #: The components of all edges found, where the search has made them already.
+    parts: DataFrame | None = None
+
+    def components(self, members: DataFrame) -> DataFrame:
+        """(id, component) of the links within each key."""
+        edges = self.edges(members)
+        if self.parts is None:
+            self.parts = connected_components(edges)
+            self.staged.append(self.parts)
+        return self.parts
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         self.staged.append(stage(df, name))
@@ -323,7 +333,7 @@ class _Links:
         if rest.isEmpty():
             return edges
         known = edges if known is None else known.unionAll(edges)
-        parts = connected_components(known)
+        self.parts = parts = connected_components(known)
         self.staged.append(parts)
         of = lambda id_, name: parts.select(F.col("id").alias(id_), F.col("component").alias(name))
         rest = rest.join(placed.where("id = hub").select("key", "hub").distinct(), "key")
@@ -331,6 +341,7 @@ class _Links:
         rest = self._stage(rest.where(F.coalesce("own", "id") != F.coalesce("first", "hub")).select("key", "id"), "rest")
         if rest.isEmpty():
             return edges
+        self.parts = None
         again = self._anew(placed, rest, level + 1, known) if level < LEVELS else self._everywhere(placed, rest)
         return edges.unionAll(again)
 
@@ -389,15 +400,12 @@ def near_duplicates(
     leads = stage(leads.dropDuplicates(["id", "d1", "d2"]).select("id", "n", "bands", "sketch"), "classes")
     members = leads.select(F.explode("bands").alias("key"), "id", F.lit(1).cast("long").alias("weight"), F.lit(True).alias("open"))
     payload, texts = leads.select("id", "n", "sketch"), slim.where("id is not null")
-    maybe = _Links(payload, texts, _BySketch, percent, block_rows, None, staged).edges(members)
-    maybe = connected_components(maybe)
-    staged += [maybe, found := stage(maybe, "groups")]
+    maybe = _Links(payload, texts, _BySketch, percent, block_rows, None, staged).components(members)
+    staged.append(found := stage(maybe, "groups"))
     groups = found.withColumnRenamed("component", "key")
     members = groups.join(leads.select("id", F.col("n").alias("weight")), "id").select("key", "id", "weight", F.lit(True).alias("open"))
     texts = texts.join(groups.select("id"), "id", "left_semi")
-    links = _Links(payload.join(texts, "id"), texts, _BySet, percent, block_shingles, leads.select("id", "bands"), staged).edges(members)
-    components = connected_components(links)
-    staged.append(components)
+    components = _Links(payload.join(texts, "id"), texts, _BySet, percent, block_shingles, leads.select("id", "bands"), staged).components(members)
     told = classes.join(components.withColumnRenamed("id", "class"), "class", "left").select(*keys, "copies", F.coalesce("component", "class").alias("component"))
     told = stage(told, "components")
     unstage(classes, leads, *staged)
