@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A key is hot if it has more than one in so many of all rows.
 HOT_KEYS = 1000
+#: Edges that one task contracts at once.
+CONTRACTED_EDGES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -164,26 +166,63 @@ def group_chunks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield carry.combine_chunks(), np.zeros(1, np.int64)
 
 
+def spanning_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, least id of its component) for each end of the edges that isn't the least itself: as few edges as have the
+    same components."""
+    ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    low = own = np.arange(len(ids))
+    while (apart := low[a] != low[b]).any():
+        a, b = a[apart], b[apart]
+        p, q = low[a], low[b]
+        low = low.copy()
+        np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+        while ((up := low[low]) != low).any():
+            low = up
+    rest = np.flatnonzero(low != own)
+    return ids[rest], ids[low[rest]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v), so many at a time, as those of spanning_stars."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        u, v = spanning_stars(t.column("u").to_numpy(), t.column("v").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= CONTRACTED_EDGES:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for each end of edges (a, b, longs): component is the least id that links lead to.
 
-    Large-star and small-star steps (Kiveris et al., 2014) until the edges stay the same; each step's edges are staged.
+    Edges are dealt out by their greater end and first contracted within each task, so that many edges from the same rows
+    to the same few are one for each row. The rest are large-star and small-star steps (Kiveris et al., 2014) until no
+    id is both above one and next to another; each step's edges are staged.
     """
-    cur = stage(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
-    )
-    mark = None
+    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    ends = ends.repartition(shuffle_partitions(edges.sparkSession), "u")
+    cur = stage(ends.mapInArrow(_contracted, "u long, v long").distinct(), "edges")
     while True:
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or now[0] == 0:
-            break
-        mark = now
         both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
-        large = join_hot(both, least, ["u"], "n", 2 * now[0], F.col("v")).where("v > u")
+        lower = F.count_if(F.col("v") < F.col("u")).alias("lower")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"), lower)
+        total, open_ = least.agg(F.sum("n"), F.count_if((F.col("lower") > 0) & (F.col("n") > 1))).first()
+        if not open_:
+            break
+        least = least.select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both, least, ["u"], "n", total, F.col("v")).where("v > u")
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_hot(large, least, ["u"], "n", now[0], F.col("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_hot(large, least, ["u"], "n", total // 2, F.col("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stage(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         unstage(cur)
         cur = new

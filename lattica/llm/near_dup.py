@@ -6,9 +6,10 @@ their similarity. Texts that share a band and whose sketches allow the threshold
 links are confirmed on full sets.
 
 Rows of a large band or group are dealt to blocks, each of which meets the least id of all first. Rows that are linked
-to that one, there or by way of other bands, need no other. The rest, and what may be linked to it, is dealt anew by the bands of further permutations, as
-LSH forests do (Bawa, Condie, Ganesan 2005): rows at the threshold share one of them as surely as before, others seldom.
-What is still in too large a band after LEVELS times meets all blocks.
+to that one, there or by way of other bands, need no other. If the rest is no more than a block, it meets all blocks. A larger
+one, and what may be linked to it, is dealt anew by the bands of further permutations, as LSH forests do (Bawa, Condie,
+Ganesan 2005): rows at the threshold share one of them as surely as before, others seldom. What is still in too large a
+band after LEVELS times meets all blocks too.
 """
 
 from __future__ import annotations
@@ -312,41 +313,49 @@ class _Links:
         return rows.mapInArrow(_searched(self.judge, self.percent), "key long, a long, b long")
 
     def edges(self, members: DataFrame, level: int = 0, known: DataFrame | None = None) -> DataFrame:
-        """(a, b) within each key so that their components are those of all links with an open row, one in open.
+        """(a, b) so that their components are those of known and of all links within a key with an open row, one in open.
 
         A key of more weight than limit is dealt out to blocks, each with the key's least id. What that id's component
-        doesn't hold, over the links of all keys and of known, is open on the next level, where all the key's rows are dealt
-        to keys by further bands; after LEVELS, it meets all the key's other blocks.
+        doesn't hold, over the links of all keys and of known, meets all the key's blocks if it is no more than one of them,
+        or after LEVELS; else it is open on the next level, where all the key's rows are dealt to keys by further bands. What
+        is known by then is one edge for each row, to the least of its component.
         """
         # The rows that aren't open are in one component already, so the least of them stands for all.
         hub = F.min(F.struct("open", "id"))["id"].alias("hub")
         totals = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("sum"), hub, F.max("open").alias("any"))
         blocks = F.ceil(F.col("sum") / self.limit).alias("blocks")
-        totals = totals.where("rows > 1 and any").select("key", "hub", "rows", F.col("rows").alias("copies"), blocks)
+        totals = totals.where("rows > 1 and any").select("key", "hub", F.col("rows").alias("copies"), blocks)
         block = F.pmod(F.xxhash64("id", "key"), F.col("blocks"))
         placed = join_hot(members, totals, ["key"], "copies", members.count(), F.col("id"))
-        placed = self._stage(placed.select("key", "id", "weight", "hub", "rows", "blocks", block.alias("block")), "placed")
+        placed = self._stage(placed.select("key", "id", "weight", "hub", "blocks", block.alias("block")), "placed")
         everywhere = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         found = self._stage(self._search(placed.withColumn("block", F.explode(F.coalesce(everywhere, F.array("block"))))), "links")
         edges = found.where("b is not null").select("a", "b")
+        edges = edges if known is None else known.unionAll(edges)
         rest = found.where("b is null").select("key", F.col("a").alias("id")).distinct()
         if rest.isEmpty():
             return edges
-        known = edges if known is None else known.unionAll(edges)
-        self.parts = parts = connected_components(known)
+        self.parts = parts = connected_components(edges)
         self.staged.append(parts)
         of = lambda id_, name: parts.select(F.col("id").alias(id_), F.col("component").alias(name))
-        rest = rest.join(placed.where("id = hub").select("key", "hub").distinct(), "key")
+        rest = rest.join(placed.drop("block"), ["key", "id"])
         rest = rest.join(of("id", "own"), "id", "left").join(of("hub", "first"), "hub", "left")
-        rest = self._stage(rest.where(F.coalesce("own", "id") != F.coalesce("first", "hub")).select("key", "id"), "rest")
+        rest = rest.where(F.coalesce("own", "id") != F.coalesce("first", "hub"))
+        rest = self._stage(rest.select("key", "id", "weight", "hub", "blocks"), "rest")
+        known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
         if rest.isEmpty():
-            return edges
+            return known
         self.parts = None
-        again = self._anew(placed, rest, level + 1, known) if level < LEVELS else self._everywhere(placed, rest)
-        return edges.unionAll(again)
+        sizes = rest.groupBy("key", "hub", "blocks").agg(F.ceil(F.sum("weight") / self.limit).alias("parts"))
+        sizes = self._stage(sizes, "sizes")
+        rest, many = rest.select("key", "id").distinct(), sizes.where("parts > 1")
+        if level == LEVELS or many.isEmpty():
+            return known.unionAll(self._everywhere(placed, rest, sizes))
+        known = known.unionAll(self._everywhere(placed, rest, sizes.where("parts = 1")))
+        return self._anew(placed, rest.join(many, "key", "left_semi"), level + 1, known)
 
     def _anew(self, placed: DataFrame, rest: DataFrame, level: int, known: DataFrame) -> DataFrame:
-        """Links of rest with its keys' rows, by the bands of a level."""
+        """Known links and those of rest with its keys' rows, by the bands of a level."""
         own = placed.join(rest.select("key").distinct(), "key", "left_semi").select("key", "id", "weight")
         own = self._stage(own.join(rest.withColumn("open", F.lit(True)), ["key", "id"], "left"), "members")
         bands = self.first
@@ -356,11 +365,8 @@ class _Links:
         each = each.select(F.xxhash64("key", "band").alias("key"), "id", "weight", F.coalesce("open", F.lit(False)).alias("open"))
         return self.edges(self._stage(each, "members"), level, known)
 
-    def _everywhere(self, placed: DataFrame, rest: DataFrame) -> DataFrame:
-        """Links of rest with its keys' rows: parts of rest meet all blocks."""
-        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("left"))
-        parts = F.ceil(F.col("left") * F.col("blocks") / F.col("rows")).alias("parts")
-        sizes = sizes.join(placed.select("key", "hub", "rows", "blocks").distinct(), "key").select("key", "hub", "blocks", parts)
+    def _everywhere(self, placed: DataFrame, rest: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Links of rest with the rows of its keys in sizes: parts of rest meet all blocks."""
         each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         part = F.pmod(F.xxhash64("key", "id"), F.col("parts")).alias("part")
         own = rest.join(sizes, "key").select("key", "id", "hub", "blocks", "parts", part, each("blocks").alias("other"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import fingerprint, language_id, line_dedup, packing, secret_scan, sharding, url_filter, warc
+from lattica.llm import _common, fingerprint, language_id, line_dedup, packing, secret_scan, sharding, url_filter, warc
 from lattica.llm import queries as Q
 from lattica.llm._common import connected_components, gapless_rank, stage
 
@@ -24,6 +24,36 @@ def test_components(spark):
     assert got == {k: 1 for k in range(1, 31)} | {40: 40, 50: 40, 60: 40}
 
 
+def least_reachable(edges):
+    low = {x: x for e in edges for x in e}
+    while changed := [(max(low[a], low[b]), min(low[a], low[b])) for a, b in edges if low[a] != low[b]]:
+        for old, least in changed:
+            low = {x: least if y == old else y for x, y in low.items()}
+    return low
+
+
+def test_components_of_shuffled_paths(spark):
+    rnd = random.Random(4)
+    ids = rnd.sample(range(-(10**9), 10**9), 300)
+    edges = [(ids[k], ids[k + 1]) for k in range(299) if k % 60 != 59] * 2 + [(ids[7], ids[3]), (ids[3], ids[7])]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted(least_reachable(edges).items())
+
+
+def test_contracted_edges(monkeypatch):
+    rnd = random.Random(2)
+    edges = [(max(e), min(e)) for e in (rnd.sample(range(90), 2) for _ in range(100))]
+    batches = [pa.RecordBatch.from_pydict({"u": [u for u, _ in part], "v": [v for _, v in part]}) for part in (edges[:5], edges[5:60], edges[60:])]
+    batches.insert(1, batches[0].slice(0, 0))
+    for limit in (1, 20, 1 << 20):
+        monkeypatch.setattr(_common, "CONTRACTED_EDGES", limit)
+        got = [(r["u"], r["v"]) for b in _common._contracted(iter(batches)) for r in b.to_pylist()]
+        low, all_ = least_reachable(got), least_reachable(edges)
+        assert {x: low.get(x, x) for x in all_} == all_
+        assert limit < 1 << 20 or dict(got) == {x: y for x, y in all_.items() if x != y}
+    assert list(_common._contracted(iter([]))) == []
+
+
 def test_gapless_rank(spark):
     df = stage(spark.range(1000).select("id", F.when(F.col("id") < 700, 0).otherwise(F.col("id") % 5).alias("k")), "t")
     got = gapless_rank(df, ["k"], [F.col("id")], [F.col("id")], "r").collect()

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from lattica.llm import near_dup
+from lattica.llm import _common, near_dup
 from lattica.llm.near_dup import near_duplicates, odd_sketch, shingle_hashes, sketch_similarity, minhash
 
 
@@ -75,6 +75,45 @@ def test_a_large_band_of_unlike_rows(spark, monkeypatch, levels):
     assert bool(found) == bool(levels)
 
 
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Each of 32 bands finds the links of a copy again; the steps that make components join a few rows for each copy."""
+    rnd = random.Random(5)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for i in range(250):
+        own = list(base)
+        own[rnd.randrange(len(own))] = f"x{i}"
+        rows.append((i * 7919 % 100003, " ".join(own)))
+    joined, join = [], _common.join_hot
+
+    def counted(rows, table, keys, *args, **kwargs):
+        out = join(rows, table, keys, *args, **kwargs)
+        joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(_common, "join_hot", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+    assert sum(joined) <= 2 * len(rows)
+
+
+def test_a_large_band_with_few_unlike_rows(spark, monkeypatch):
+    """Near copies, and a few rows of their bands that aren't linked to them: these meet the blocks, and nothing is dealt
+    to further bands."""
+    rnd = random.Random(8)
+    base, rows = [f"c{k}" for k in range(80)], []
+    for i in range(80):
+        own = list(base)
+        own[rnd.randrange(len(own))] = f"x{i}"
+        rows.append((i * 31 % 1009, " ".join(own)))
+    rows += [(2000 + i, " ".join(base[:55] + [f"f{i // 2}x{k}" for k in range(35)] + [f"y{i}"])) for i in range(12)]
+    called = []
+    for name in ("_anew", "_everywhere"):
+        monkeypatch.setattr(near_dup._Links, name, lambda *a, f=getattr(near_dup._Links, name), n=name: called.append(n) or f(*a))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=32)
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+    assert called == ["_everywhere"]
+
+
 def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(
         [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "other words here")], "doc_id long, text string"
