@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Upper to lower case for A-Z only; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -91,8 +93,26 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], spread: li
     )
 
 
+def rest_of(docs: DataFrame, text_col: str, names: list[str]) -> list[str]:
+    """Those of names that rows take along beside their text: a string column text_col among others is the text itself, and
+    isn't sent to a worker twice."""
+    itself = text_col in docs.columns and docs.schema[text_col].dataType == StringType()
+    return [c for c in names if c != text_col] or names if itself else names
+
+
+def give_back() -> None:
+    """Free memory that Arrow's pool and the C library hold on to goes back to the system (the latter's with glibc only),
+    as workers outlive tasks and stages and all those of an executor share its memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about limit bytes of text at most (one row at least)."""
+    """The batch in runs of rows of about limit bytes of text at most (one row at least). Memory that is free after a run
+    is given back."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     begin = 0
     while begin < len(ends):
@@ -100,6 +120,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Ite
         end = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
+        give_back()
 
 
 def mapped_bytes(texts: pa.Array, table: bytes) -> pa.Array:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._common import byte_slices, coded, mapped_bytes, split_words, starts_of
+from lattica.llm._common import byte_slices, coded, mapped_bytes, rest_of, split_words, starts_of
 
 WINDOW = 13
 SHINGLE = 5
@@ -235,7 +235,8 @@ def benchmark_hits(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text")
     )
     names = [c for c in docs.columns if c not in ("n_words", "spans", "items")] if keep else [id_col]
-    out = docs.select(F.struct(*names).alias("rest"), F.col(text_col).cast("string").alias("text")).select(
+    rest = rest_of(docs, text_col, names)
+    out = docs.select(F.struct(*rest).alias("rest"), F.col(text_col).cast("string").alias("text")).select(
         "rest", "text", F.lit(0).cast("long").alias("n_words"), F.lit([]).cast("array<int>").alias("spans"),
         F.lit([]).cast("array<string>").alias("items"),
     )
@@ -251,7 +252,8 @@ def benchmark_hits(
         held = counted.groupBy("width", "shingle").agg(F.sum("n").alias("n")).collect()
         index.order({(r.width, r.shingle): r.n for r in held})
         out = out.mapInArrow(_probing(index), schema)
-    return out.select(*(F.col("rest").getField(c).alias(c) for c in names), "n_words", "spans", "items")
+    own = {c: F.col("rest").getField(c) if c in rest else F.col("text") for c in names}
+    return out.select(*(v.alias(c) for c, v in own.items()), "n_words", "spans", "items")
 
 
 def contamination(hits: DataFrame, id_col: str = "doc_id", one_in: int = 20) -> DataFrame:

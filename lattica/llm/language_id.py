@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lattica.llm._common import byte_slices, coded, split_words, stage, starts_of, unstage
+from lattica.llm._common import byte_slices, coded, rest_of, split_words, stage, starts_of, unstage
 
 UNDETERMINED = "und"
 #: Bounds of learning alone: labelled rows a language is learned from, about; words with a count that are kept for a
@@ -244,12 +245,14 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 told, score = model.judge(part.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("rest"), pa.array(told, pa.string()), pa.array(score, pa.float64())],
-                    ["rest", "lang_pred", "score"],
-                )
+                columns = {c: part.column(c) for c in sent}
+                columns |= {"lang_pred": pa.array(told, pa.string()), "score": pa.array(score, pa.float64())}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     names = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep else [id_col]
-    slim = docs.select(F.struct(*names).alias("rest"), F.col(text_col).cast("string").alias("text"))
-    out = slim.mapInArrow(run, f"rest {slim.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select(*(F.col("rest").getField(c).alias(c) for c in names), "lang_pred", "score")
+    rest = rest_of(docs, text_col, names)
+    sent = ["rest", "text"] if rest != names else ["rest"]
+    slim = docs.select(F.struct(*rest).alias("rest"), F.col(text_col).cast("string").alias("text"))
+    schema = StructType([*(slim.schema[c] for c in sent), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    own = {c: F.col("rest").getField(c) if c in rest else F.col("text") for c in names}
+    return slim.mapInArrow(run, schema).select(*(v.alias(c) for c, v in own.items()), "lang_pred", "score")

@@ -30,6 +30,8 @@ from lattica.llm._common import byte_slices, coded, gapless_rank, split_words, s
 CAPACITY = 2048
 #: Steps of the search: sequences begun and fillings looked at.
 STEPS = 40_000
+#: Bytes of text, about, whose tokens are made at once.
+SLICE = 2 << 20
 #: Sequences whose options are kept while the search is deeper; those of others are made again when it comes back.
 HELD = 64
 
@@ -255,10 +257,17 @@ class Places:
         return self.sequence[at] + nth // self.each[at], self.offset[at] + nth % self.each[at] * length
 
 
-def _gathered(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The runs of flat that codes tell, end to end; run k has lengths[k] values and follows the run before."""
-    n = lengths[codes]
-    return flat[np.repeat(starts_of(lengths)[codes] - starts_of(n), n) + np.arange(int(n.sum()))]
+def _gathered(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray, runs: int = 1 << 16) -> np.ndarray:
+    """The runs of flat that codes tell, end to end; run k has lengths[k] values and follows the run before. So many runs
+    at a time are placed, as their places take several times the memory of the values."""
+    starts = starts_of(lengths)
+    out, end = np.empty(int(lengths[codes].sum()), flat.dtype), 0
+    for first in range(0, len(codes), runs):
+        own = codes[first : first + runs]
+        n = lengths[own]
+        begin, end = end, end + int(n.sum())
+        out[begin:end] = flat[np.repeat(starts[own] - starts_of(n), n) + np.arange(end - begin)]
+    return out
 
 
 class TokenIds:
@@ -322,6 +331,7 @@ class TokenIds:
         """All ids of the texts, end to end, and how many each has."""
         words, counts = split_words(texts)
         codes, distinct = coded(words)
+        del words
         ids, lengths = self.words(distinct.cast(pa.string()))
         return _gathered(ids, lengths, codes), _sums(lengths[codes], counts)
 
@@ -337,7 +347,7 @@ def _pieces(tokenizer_json: str, capacity: int, end_id: int) -> Callable[[Iterat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TokenIds(tokenizer_json)
         for batch in batches:
-            for part in byte_slices(batch, "text"):
+            for part in byte_slices(batch, "text", SLICE):
                 ids, counts = encoder.texts(part.column("text"))
                 ends = np.cumsum(counts + 1)
                 is_end = np.zeros(len(ids) + len(counts), bool)
@@ -348,7 +358,7 @@ def _pieces(tokenizer_json: str, capacity: int, end_id: int) -> Callable[[Iterat
                 row = np.repeat(np.arange(len(counts)), pieces)
                 nth = np.arange(len(row)) - starts_of(pieces)[row]
                 length = np.minimum(counts[row] + 1 - nth * capacity, capacity)
-                begin, data = 4 * starts_of(length), memoryview(whole.tobytes())
+                begin, data = 4 * starts_of(length), whole.view(np.uint8).data
                 crc = [zlib.crc32(data[b:e]) for b, e in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
                 columns = part.column("id").take(pa.array(row)), pa.array(nth, pa.int32())
                 longs = (pa.array(v, pa.int64()) for v in (nth * capacity, length, crc))
